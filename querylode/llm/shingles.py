@@ -29,6 +29,9 @@ _LOWERED = _BYTE.copy()
 _LOWERED[65:91] = _BYTE[97:123]
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Also ends words at every ASCII sign that is neither letter nor digit.
+_SIGNS = _BLANK.copy()
+_SIGNS[:128] |= ~np.array([chr(i).isalnum() for i in range(128)])
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -51,12 +54,12 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, offsets: np.ndarray, signs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word in the bytes, and the index of the first word of each row (with one more at the end)."""
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~_BLANK[raw]
+    inside = ~(_SIGNS if signs else _BLANK)[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     begins = offsets[:-1][offsets[:-1] < len(raw)]

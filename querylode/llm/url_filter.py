@@ -65,7 +65,7 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def gram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of all 3-grams and 4-grams of code points; the text is fenced by ^ and $."""
+    """Distinct buckets of all 3-grams and 4-grams of code points; the text is fenced by ^ and $."""
     codes = F.transform(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: F.ascii(c).cast("long"))
 
     def grams(codes: Column) -> Column:
@@ -77,7 +77,7 @@ def gram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
             F.slice(codes, 1, F.greatest(F.size(codes) - 3, F.lit(0))),
             lambda c, i: F.pmod((c * 79507 + F.get(codes, i + 1) * 1849 + F.get(codes, i + 2) * 43 + F.get(codes, i + 3)) * 40503 + 7, F.lit(buckets)),
         )
-        return F.concat(three, four)
+        return F.array_distinct(F.concat(three, four))
 
     return F.get(F.transform(F.array(codes), grams), F.lit(0))
 
@@ -100,7 +100,7 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, epochs: int = 150, rate: fl
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = labelled.where("url is not null and bad is not null").select("url", "bad", gram_buckets(F.concat(host, path), buckets).alias("grams")).orderBy("url", "bad").limit(MAX_LABELLED).collect()
     weights, bias = [0.0] * buckets, 0.0
-    data = [(sorted(set(r["grams"])), float(r["bad"])) for r in rows]
+    data = [(r["grams"], float(r["bad"])) for r in rows]
     for _ in range(epochs if data else 0):
         slope, lean = {}, 0.0
         for grams, bad in data:
@@ -174,8 +174,9 @@ coded AS (SELECT *, list_transform(string_split('^' || host || path || '$', ''),
 model AS (SELECT {list(model.weights)}::BIGINT[] AS w),
 scored AS (
   SELECT page_id, host, path, rule, {model.bias}
-    + coalesce(list_sum(list_transform(range(1, len(k) - 1), lambda i: w[(((k[i] * 961 + k[i+1] * 31 + k[i+2]) * 2654435) % {size}) + 1])), 0)
-    + coalesce(list_sum(list_transform(range(1, len(k) - 2), lambda i: w[(((k[i] * 79507 + k[i+1] * 1849 + k[i+2] * 43 + k[i+3]) * 40503 + 7) % {size}) + 1])), 0) AS micros
+    + coalesce(list_sum(list_transform(list_distinct(list_concat(
+      list_transform(range(1, len(k) - 1), lambda i: ((k[i] * 961 + k[i+1] * 31 + k[i+2]) * 2654435) % {size}),
+      list_transform(range(1, len(k) - 2), lambda i: ((k[i] * 79507 + k[i+1] * 1849 + k[i+2] * 43 + k[i+3]) * 40503 + 7) % {size}))), lambda b: w[b + 1])), 0) AS micros
   FROM coded, model)
 SELECT page_id, host, path, rule, CASE
 {says}
