@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querylode.llm import decontamination, jaccard_join, packing, quality, secrets, token_counts, token_files, toxicity, url_filter
+from querylode.llm import decontamination, jaccard_join, packing, ppm_score, quality, secrets, token_counts, token_files, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scans": secrets.op3_secret_scans,
         "op4_token_files": token_files.op4_token_files,
         "op5_token_counts": token_counts.op5_token_counts,
+        "op6_lm_scoring": ppm_score.op6_lm_scoring,
         "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_quality_rules": quality.op9_quality_rules,
