@@ -51,7 +51,7 @@ EDGES = [(1000, None), (1001, ""), (1002, " \n\t"), (1003, "one two"), (1004, "O
 def test_equals_brute_force(spark, seed):
     rows = near_copies(seed) + EDGES
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, component_id string, n long")
-    got = jaccard_components(docs, common_at=3, bits=12).collect()
+    got = jaccard_components(docs, levels=(3, 9), bits=12).collect()
     comps, sizes = brute(rows)
     assert len(got) == len(rows)
     assert {(r.doc_id, r.n_shingles) for r in got} == sizes
