@@ -14,21 +14,30 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
+_BLANKS = b" \t\n\x0b\x0c\r"
+#: Where a text has these, its words aren't all one blank apart.
+_UNEVEN = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
 _UNITS = re.compile(rb"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
 _OTHER_BLANKS = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8d\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
+#: Without these bytes in it a text has no such blank, and they are quicker to look for.
+_HINTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf")
+_SEPARATORS = b"\x1c\x1d\x1e\x1f"
 _PLAIN = re.compile(rb" ?[^ \t\n\x0b\x0c\r\x01]+\Z")
+_ONE_SPACED = re.compile(rb" [^ \t\n\x0b\x0c\r]+\Z")
 
 
 class Encoder:
     """Encodes batches of texts; ids come as little-endian bytes of the width that the vocabulary needs."""
 
-    def __init__(self, path: str, bound: int = 500_000):
+    def __init__(self, path: str, bound: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.bound = bound
+        # at the bound what is known becomes what is older, and what is used of that comes back
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         # a vocabulary that drops blanks gives none for them
         self.drops_blanks = not self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.fence = " \x01 " if self.drops_blanks else "\n"
@@ -39,41 +48,68 @@ class Encoder:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, units: set[bytes]) -> None:
-        if len(self.known) + len(units - self.known.keys()) > self.bound:  # what the batch at hand uses stays
-            self.known = {u: self.known[u] for u in units & self.known.keys()}
-        new = list(units - self.known.keys())
-        plain = [u for u in new if _PLAIN.match(u)] if len(self.fence_ids) == 1 else []
+        old = self.older
+        new = []
+        for u in units:
+            if (raw := old.get(u)) is None:
+                new.append(u)
+            else:
+                self.known[u] = raw
+        text = {u: self.unit(u) for u in new}
+        plain = [u for u in new if _PLAIN.match(text[u])] if len(self.fence_ids) == 1 else []
         for u in set(new) - set(plain):
-            self.known[u] = self.whole(u)
+            self.known[u] = self.whole(text[u])
         fence = self.fence_ids[0] if plain else 0
         for at in range(0, len(plain), 500):
             part = plain[at : at + 500]
-            joined = self.fence + self.fence.join(u.decode("utf-8", "replace") for u in part)
+            joined = self.fence + self.fence.join(text[u].decode("utf-8", "replace") for u in part)
             ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, self.dtype)
             cuts = np.flatnonzero(ids == fence)
             if len(cuts) != len(part):  # a unit's own ids hold the fence's
                 for u in part:
-                    self.known[u] = self.whole(u)
+                    self.known[u] = self.whole(text[u])
                 continue
             raw, size = ids.tobytes(), self.dtype.itemsize
             ends = [*(cuts[1:] * size).tolist(), len(raw)]
             for u, a, b in zip(part, ((cuts + 1) * size).tolist(), ends, strict=True):
                 self.known[u] = raw[a:b]
 
-    def units(self, text: bytes) -> list[bytes] | None:
+    def keys(self, text: bytes) -> list[bytes] | None:
+        """The keys of a text's units, None if it must be encoded as a whole. For a byte-level vocabulary a bare word stands for itself after one space; other units have a mark before them."""
         if self.drops_blanks:
             return (text.lower() if self.lowers else text).split()
-        if _OTHER_BLANKS.search(text):
+        if (any(x in text for x in _HINTS) or len(text.translate(None, _SEPARATORS)) < len(text)) and _OTHER_BLANKS.search(text):
             return None
-        return _UNITS.findall(text)
+        if not text or text[-1] in _BLANKS or text[0] in _BLANKS or any(x in text for x in _UNEVEN):
+            return [u[1:] if _ONE_SPACED.match(u) else b"\r" + u for u in _UNITS.findall(text)]
+        out: list[bytes] = []
+        mark = b"\r"
+        for line in text.split(b"\n"):
+            words = line.split(b" ")
+            words[0] = mark + words[0]
+            out += words
+            mark = b"\r\n"
+        return out
+
+    def unit(self, key: bytes) -> bytes:
+        if self.drops_blanks:
+            return key
+        return key[1:] if key[:1] == b"\r" else b" " + key
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
-            split = [self.units(t) for t in texts[at : at + 256]]
-            self._learn(set().union(*(u for u in split if u is not None)))
-            known = self.known
-            out += [self.whole(t) if u is None else b"".join(map(known.__getitem__, u)) for t, u in zip(texts[at : at + 256], split, strict=True)]
+            if len(self.known) > self.bound:
+                self.known, self.older = {}, self.known
+            part = texts[at : at + 256]
+            split = [self.keys(t) for t in part]
+            get = self.known.get
+            raws = [None if u is None else list(map(get, u)) for u in split]
+            lacking = [i for i, r in enumerate(raws) if r is not None and None in r]
+            self._learn({u for i in lacking for u, r in zip(split[i], raws[i], strict=True) if r is None})
+            for i in lacking:
+                raws[i] = map(self.known.__getitem__, split[i])
+            out += [self.whole(t) if r is None else b"".join(r) for t, r in zip(part, raws, strict=True)]
         return out
 
 
