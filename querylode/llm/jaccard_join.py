@@ -3,8 +3,8 @@
 Documents are sets of word shingles; two are linked when 100 * intersection >= percent * union. All
 elements have one global order: common ones first, then by hash. A pair that reaches the bound must share one
 of the last (rarest) n - ceil(percent * n / 100) + 1 elements of each, so only sets that share one of
-those are compared. The common elements are a bitmap of fixed size; what it confuses only moves an element in the
-order, which is the same for all sets, so no link is lost.
+those are compared. How common an element is, by a few levels, is kept in bitmaps of fixed size; what they confuse only moves an
+element in the order, which is the same for all sets, so no link is lost.
 
 Copies (equal sets) are one node. Nodes that share a rare element form a run. A run is not expanded into pairs:
 its members are first held against one centre, the links found are merged into components, and
@@ -25,22 +25,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylode.llm.common import doc_text, drop_settled, settle, small_batches, table
+from querylode.llm.common import doc_text, drop_settled, release, settle, small_batches, table
 from querylode.llm.shingles import shingle_sets
 
-#: Elements counted for the order: those whose hash is below this share of all. Rare elements of most sets lie there.
-COUNTED = 0.25
-#: Documents from which an element counts as common.
-COMMON_AT = 6
-#: Bits of the bitmap of common elements (2**27: 16 MB at most).
-BITMAP_BITS = 27
+#: Documents from which an element moves up one level of commonness.
+LEVELS = (6, 64, 1024)
+#: Bits of an element's hash by which it is counted, and bits of each level's bitmap (2**26: 8 MB).
+KEY_BITS, BITMAP_BITS = 36, 26
 #: Rounds with a single centre for each run, before all that is left is compared.
 STAR_ROUNDS = 3
 #: Members that one comparison holds.
 CHUNK = 256
+#: Elements that a task holds before it sends its counts on.
+HELD = 1 << 22
+#: Cells of the histograms that bound an overlap from above.
+CELLS = 128
 
 
 def set_rows(docs: DataFrame, k: int) -> DataFrame:
@@ -56,31 +59,84 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, sig binary")
 
 
-def common_bitmap(docs: DataFrame, k: int, counted: float, common_at: int, bits: int) -> np.ndarray:
-    """A bit for each element that at least so many documents hold. Counts cover all documents; the driver gets the bitmap's words only, 2**(bits - 6) at most."""
-    bound = np.uint64(int(counted * 2**64))
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the bytes of their gaps, lowest bytes first, compressed."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T[:6]).tobytes(), 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def unpacked_keys(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(6, -1)
+    gaps = np.zeros((planes.shape[1], 8), np.uint8)
+    gaps[:, :6] = planes.T
+    return np.cumsum(gaps.view(np.uint64).ravel())
+
+
+def common_levels(docs: DataFrame, k: int, levels: tuple[int, ...], bits: int) -> np.ndarray:
+    """For each level a bitmap of the elements that so many documents hold.
+
+    All elements of all documents are counted, by the first KEY_BITS bits of their hash. Tasks send sorted keys, packed, to the
+    bucket of their range, so each key costs about 2 bytes on the way and a bucket holds as many as any other. The driver gets the
+    bitmaps' words only.
+    """
+    spark = docs.sparkSession
+    buckets = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    edges = np.array([(i << KEY_BITS) // buckets for i in range(1, buckets)], np.uint64)
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def packed() -> pa.RecordBatch:
+            keys = np.sort(np.concatenate(held))
+            parts = [(i, part) for i, part in enumerate(np.split(keys, np.searchsorted(keys, edges))) if len(part)]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([packed_keys(part) for _, part in parts], pa.binary())], schema=schema)
+
+        size = 0
         for batch in batches:
-            held = [s[: np.searchsorted(s, bound)] for s in shingle_sets(batch.column("text"), k)]
-            found, times = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int32))], ["el", "times"])
-
-    common = docs.mapInArrow(run, "el long, times int").groupBy("el").agg(F.sum("times").alias("times")).where(F.col("times") >= common_at)
-    slot = F.col("el").bitwiseAND((1 << bits) - 1)
-    words = common.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(el & 63 AS INT))")).alias("mask")).toArrow()
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    bitmap[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
-    return bitmap
-
-
-def globally_ordered(found: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
-    """The set in the global order, common elements first; within either part by falling hash, so that the end holds the rare elements of lowest hash."""
-    slot = found & np.uint64((1 << bits) - 1)
-    common = (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)
+            for found in shingle_sets(batch.column("text"), k):
+                if len(found):
+                    held.append(found >> np.uint64(64 - KEY_BITS))
+                    size += len(found)
+            if size >= HELD:
+                yield packed()
+                held, size = [], 0
+        if held:
+            yield packed()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def common() -> pa.RecordBatch:
+            keys, times = np.unique(np.concatenate(held), return_counts=True)
+            slots = [(level, keys[times >= least] & np.uint64((1 << bits) - 1)) for level, least in enumerate(levels)]
+            columns = [np.concatenate([np.full(len(x), level, np.int32) for level, x in slots]), np.concatenate([(x >> np.uint64(6)).astype(np.int64) for _, x in slots])]
+            columns.append(np.concatenate([(np.uint64(1) << (x & np.uint64(63))).view(np.int64) for _, x in slots]))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["level", "word", "mask"])
+
+        for batch in batches:
+            for bucket, keys in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                if bucket != at and held:
+                    yield common()
+                    held = []
+                at = bucket
+                held.append(unpacked_keys(keys))
+        if held:
+            yield common()
+
+    sent = docs.mapInArrow(send, "bucket int, keys binary").repartition("bucket").sortWithinPartitions("bucket")
+    words = sent.mapInArrow(count, "level int, word long, mask long").groupBy("level", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bitmaps = np.zeros((len(levels), 1 << (bits - 6)), np.uint64)
+    bitmaps[words["level"].to_numpy(), words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    return bitmaps
+
+
+def globally_ordered(found: np.ndarray, bitmaps: np.ndarray, bits: int) -> np.ndarray:
+    """The set in the global order: by falling level of commonness, and by falling hash within a level."""
     falling = found[::-1]
-    common = common[::-1].astype(bool)
-    return np.concatenate([falling[common], falling[~common]])
+    slot = (falling >> np.uint64(64 - KEY_BITS)) & np.uint64((1 << bits) - 1)
+    level = ((bitmaps[:, slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).sum(axis=0)
+    return falling[np.argsort(-level.astype(np.int8), kind="stable")]
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -101,14 +157,34 @@ def rare_rows(docs: DataFrame, k: int, percent: int, bitmap, bits: int) -> DataF
 
 
 def ordered_sets(docs: DataFrame, k: int, bitmap, bits: int) -> DataFrame:
-    """doc_id and the whole ordered set, 8 bytes big-endian an element, so that bytes compare as elements do."""
+    """doc_id, the whole ordered set (8 bytes big-endian an element, so that bytes compare as elements do), and its histogram over CELLS cells (a byte each; 255: or more)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column("text"), k)
+            blobs = [globally_ordered(s, bitmap.value, bits).astype(">u8").tobytes() for s in sets]
+            cells = [np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary()), pa.array(cells, pa.binary())], ["doc_id", "els", "cells"])
+
+    return docs.mapInArrow(run, "doc_id long, els binary, cells binary")
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose histograms leave an overlap that reaches the bound."""
+    cells = sets.select("doc_id", "cells", F.expr("length(els) DIV 8").alias("n"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [globally_ordered(s, bitmap.value, bits).astype(">u8").tobytes() for s in shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "els"])
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("a_cells", "b_cells"))
+            least = np.minimum(x, y).astype(np.int64)
+            least[least == 255] = 1 << 40  # both are 255 or more, so any overlap may lie there
+            n = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
+            held = least.sum(axis=1) * (100 + percent) >= percent * n
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(held)), batch.column("b").filter(pa.array(held))], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, els binary")
+    both = pairs.join(cells.select(F.col("doc_id").alias("a"), F.col("cells").alias("a_cells"), F.col("n").alias("a_n")), "a").join(cells.select(F.col("doc_id").alias("b"), F.col("cells").alias("b_cells"), F.col("n").alias("b_n")), "b")
+    return both.select("a", "b", "a_cells", "b_cells", "a_n", "b_n").mapInArrow(run, "a long, b long").distinct()
 
 
 class PrefixTree:
@@ -218,7 +294,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, counted: float = COUNTED, common_at: int = COMMON_AT, bits: int = BITMAP_BITS) -> DataFrame:
+def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, levels: tuple[int, ...] = LEVELS, bits: int = BITMAP_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set) of every row of documents."""
     if not 50 <= percent <= 100:
         raise ValueError("the bound must lie between 50 and 100 percent")
@@ -227,7 +303,8 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, coun
     docs = doc_text(documents)
     rows = settle(set_rows(docs, k), "sets")
     classes = settle(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n")), "classes")
-    bitmap = spark.sparkContext.broadcast(common_bitmap(docs, k, counted, common_at, bits))
+    bitmap = spark.sparkContext.broadcast(common_levels(docs, k, levels, bits))
+    release(spark)
 
     heads = classes.select(F.col("class_id").alias("doc_id"), "n")
     rare = settle(rare_rows(docs, k, percent, bitmap, bits), "rare")
@@ -235,9 +312,13 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, coun
     shared = elements.groupBy("el").count().where("count > 1").select("el")
     runs = settle(elements.join(shared, "el").join(heads, "doc_id").select("el", "doc_id", "n").distinct(), "runs")
     drop_settled(rare)
+    release(spark)
 
-    involved = runs.select("doc_id").distinct()
-    sets = settle(ordered_sets(docs.join(involved, "doc_id", "left_semi"), k, bitmap, bits), "ordered")
+    # how many of a set's rare elements others have: an original has more such than its altered copies
+    degrees = runs.groupBy("doc_id").agg((F.count("*") / F.first("n")).alias("degree"))
+    runs = settle(runs.join(degrees, "doc_id"), "runs")
+    sets = settle(ordered_sets(docs.join(degrees.select("doc_id"), "doc_id", "left_semi"), k, bitmap, bits), "ordered")
+    release(spark)
     links, tried, labels = None, None, None
     for stage in range(STAR_ROUNDS + 1):
         if labels is None:
@@ -248,9 +329,10 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, coun
         mixed = known.groupBy("el").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("el")
         open_runs = known.join(mixed, "el")
         if stage < STAR_ROUNDS:
-            order = [F.col("doc_id"), -F.col("doc_id"), F.xxhash64("doc_id")][stage % 3]
+            # the first centre is the likeliest original; later ones are any members, others in each run
+            order = -F.col("degree") if stage == 0 else F.xxhash64("doc_id", "el", F.lit(stage)).cast("double")
             centres = open_runs.groupBy("el").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))).alias("c")).select("el", "c.a", "c.an", "c.ac")
-            met = open_runs.join(centres, "el").select("a", "an", "ac", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
+            met = open_runs.select("el", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc")).join(centres, "el")
         else:
             left = open_runs.select("el", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
             right = open_runs.select("el", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
@@ -263,11 +345,14 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, coun
         pairs = settle(pairs, "pairs")
         if pairs.isEmpty():
             break
-        fresh = settle(verify(pairs.select("a", "b"), sets, percent), "found")
+        near = settle(possible(pairs.select("a", "b"), sets, percent), "near")
+        fresh = settle(verify(near, sets, percent), "found")
         if not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
             labels = components(links)
         tried = pairs.select("x", "y") if tried is None else tried.unionByName(pairs.select("x", "y"))
+        drop_settled(known)
+        release(spark)
 
     if labels is None:
         comps = classes.select("sig", "class_id", F.col("class_id").alias("component_id"))
