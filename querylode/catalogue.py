@@ -1,15 +1,337 @@
-"""Named queries over the driver's tables, each with equivalent SQL."""
+"""Named queries over the driver's tables, each with equivalent SQL.
+
+The tables hold no SQL text, so workloads are made from their rows: every row becomes a statement, a log entry or a finding.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from querylode.analysis import analyse
+from querylode.functions import text as T
+from querylode.operators import findings as after
+from querylode.operators import probes
+from querylode.operators.buckets import buckets, statements
+from querylode.operators.rules import Options, run_rules
+from querylode.operators.workload import patterns, payoff
+from querylode.plans.parser import parsed
+from querylode.sources import sinks
+from querylode.sources.catalog import catalog_from_json, catalog_of_tables
+from querylode.sources.slow_log import slow_events
+from querylode.sources.sql_text import as_records, records_from_texts
+from querylode.streaming.windows import windowed_costs
+
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def query(name: str, sql: str):
+    def add(f):
+        QUERIES[name] = (f, sql)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _k() -> Column:
+    return F.get_json_object("props", "$.k").cast("bigint")
+
+
+def event_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as entries of a slow log."""
+    sql = F.concat(F.lit("SELECT * FROM "), "event_type", F.lit(" WHERE user_id = "), F.col("user_id").cast("string"), F.lit(" LIMIT "), _k().cast("string"), F.lit(", 20"))
+    return _t(spark, sf, "events").select(
+        F.lit("events").alias("file"), F.col("event_id").alias("event_ord"), F.lit(1).alias("line"), "ts", F.col("value").cast("decimal(18,2)").cast("decimal(18,6)").alias("query_time"),
+        F.lit(None).cast("decimal(18,6)").alias("lock_time"), F.lit(None).cast("bigint").alias("rows_sent"), _k().alias("rows_examined"), sql.alias("sql"), F.lit(False).alias("ignored"),
+    )
+
+
+LOG = """WITH log AS (SELECT event_id, ts, event_type, user_id, value::DECIMAL(18,2) AS query_time, (props->>'$.k')::BIGINT AS k,
+  'SELECT * FROM ' || event_type || ' WHERE user_id = ' || user_id || ' LIMIT ' || (props->>'$.k') || ', 20' AS sql FROM events),
+marked AS (SELECT *, 'select * from ' || lower(event_type) || ' where user_id=? limit ?,?' AS fingerprint FROM log)
+"""
+
+
+@query("fingerprint_rank", LOG + "SELECT fingerprint, count(*)::BIGINT AS occurrences, sum(query_time)::DOUBLE AS total_query_time, max(k) AS max_rows_examined, arg_min(sql, event_id) AS first_sql, first(k ORDER BY query_time DESC, event_id) AS worst_rows FROM marked GROUP BY 1")
+def fingerprint_rank(spark, sf):
+    found = patterns(event_log(spark, sf)).orderBy(F.desc("total_query_time"), "record_ord")
+    return found.select("fingerprint", "occurrences", F.col("total_query_time").cast("double").alias("total_query_time"), "max_rows_examined", F.col("sql").alias("first_sql"), F.col("rows_examined").alias("worst_rows"))
+
+
+@query("literal_mask", "SELECT o_orderkey, regexp_replace(regexp_replace('SELECT x FROM t1 WHERE k IN (' || o_orderkey || ', ' || o_custkey || ', 7) AND d > -5.5e3 AND s = ''' || o_orderstatus || ''' AND t_2024.a = ' || o_custkey, '''[^'']*''|-?\\b[0-9]+(\\.[0-9]+)?(e[0-9]+)?\\b', '?', 'g'), 'IN \\(\\?(, \\?)*\\)', 'IN (?)', 'g') AS masked FROM orders")
+def literal_mask(spark, sf):
+    text = F.concat(F.lit("SELECT x FROM t1 WHERE k IN ("), "o_orderkey", F.lit(", "), "o_custkey", F.lit(", 7) AND d > -5.5e3 AND s = '"), "o_orderstatus", F.lit("' AND t_2024.a = "), "o_custkey")
+    return _t(spark, sf, "orders").select("o_orderkey", T.fold_in_lists(T.mask_literals(text)).alias("masked"))
+
+
+@query("comment_strip", "SELECT p_partkey, 'SELECT ' || p_size || ' FROM p WHERE b = ''' || p_brand || ' -- x'' AND 1' AS bare FROM part")
+def comment_strip(spark, sf):
+    text = F.concat(F.lit("SELECT /* size */"), "p_size", F.lit(" FROM p # note\n WHERE b = '"), "p_brand", F.lit(" -- x' -- done\n AND 1 "))
+    return _t(spark, sf, "part").select("p_partkey", F.regexp_replace(T.one_line(text), "SELECT +", "SELECT ").alias("bare"))
+
+
+@query("evidence_clip", "WITH t AS (SELECT o_orderkey, repeat(o_orderpriority || ',', 30) AS x FROM orders) SELECT o_orderkey, CASE WHEN length(x) > 200 THEN x[1:199] || '…' ELSE x END AS evidence FROM t")
+def evidence_clip(spark, sf):
+    return _t(spark, sf, "orders").select("o_orderkey", T.evidence(F.repeat(F.concat("o_orderpriority", F.lit(",")), F.lit(30))).alias("evidence"))
+
+
+@query("statement_split", "SELECT p_partkey, unnest([1, 2]) AS pos, unnest(['SELECT a FROM p WHERE k = ' || p_partkey, 'UPDATE p SET n = ''x;' || p_brand || ''' WHERE k = ' || p_partkey]) AS statement FROM part")
+def statement_split(spark, sf):
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("SELECT a FROM p WHERE k = "), k, F.lit(";\n -- two;\nUPDATE p SET n = 'x;"), "p_brand", F.lit("' WHERE k = "), k, F.lit(" ; # end"))
+    found = records_from_texts(_t(spark, sf, "part").select(k.alias("file"), text.alias("value")))
+    return found.select(F.col("file").cast("bigint").alias("p_partkey"), (F.col("record_ord") + 1).cast("int").alias("pos"), F.col("sql").alias("statement"))
+
+
+@query("slowlog_parse", LOG + "SELECT event_id, query_time::DOUBLE AS query_time, k AS rows_examined, 'app' || user_id AS app, ts, 4 AS line, sql FROM log")
+def slowlog_parse(spark, sf):
+    log = event_log(spark, sf).join(_t(spark, sf, "events").select(F.col("event_id").alias("event_ord"), "user_id"), "event_ord")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("# Time: "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")), F.concat(F.lit("# User@Host: app"), "user_id", F.lit("[app] @ db [10.0.0.1]  Id: 7")),
+        F.concat(F.lit("# Query_time: "), F.col("query_time").cast("string"), F.lit("  Lock_time: 0.000100 Rows_sent: 1  Rows_examined: "), F.col("rows_examined").cast("string")),
+        F.concat("sql", F.lit(";")), F.lit("# administrator command: Quit;"),
+    )
+    lines = log.select(F.col("event_ord").cast("string").alias("file"), F.posexplode(F.split(text, "\n")).alias("pos", "text"))
+    found = slow_events(lines.select("file", (F.col("pos") + 1).alias("line"), "text")).where("NOT ignored")
+    return found.select(F.col("file").cast("bigint").alias("event_id"), F.col("query_time").cast("double").alias("query_time"), "rows_examined", F.col("user").alias("app"), F.col("ts").cast("timestamp").alias("ts"), "line", "sql")
+
+
+ROLES = [("where-eq", "c_nationkey"), ("where-in", "c_mktsegment"), ("where-range", "c_acctbal"), ("where-range", "c_name"), ("where-null", "c_phone"), ("join-on", "o_custkey"), ("join-on", "c_custkey")]
+
+
+@query("parse_roles", "SELECT scope, col, (SELECT count(*) FROM customer)::BIGINT AS n FROM (VALUES " + ", ".join(f"('{s}', '{c}')" for s, c in ROLES) + ") v(scope, col)")
+def parse_roles(spark, sf):
+    sql = F.concat(
+        F.lit("SELECT c.c_name FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey WHERE c.c_nationkey = "), "c_nationkey", F.lit(" AND (c.c_mktsegment = '"), "c_mktsegment",
+        F.lit("' OR c.c_mktsegment = 'X') AND c.c_acctbal BETWEEN "), F.col("c_acctbal").cast("string"), F.lit(" AND 5 AND c.c_name LIKE '%x' AND c.c_phone IS NULL"),
+    )
+    refs = _t(spark, sf, "customer").select(F.explode(F.get(parsed(sql), F.lit(0))["columns"]).alias("r"))
+    return refs.groupBy(F.col("r.scope").alias("scope"), F.col("r.column").alias("col")).agg(F.count("*").alias("n"))
+
+
+@query("subquery_fold", "SELECT * FROM (SELECT 'outer' AS part, count(*)::BIGINT AS records, sum(1)::BIGINT AS occurrences FROM part UNION ALL SELECT 'body', count(DISTINCT p_brand)::BIGINT, count(*)::BIGINT FROM part)")
+def subquery_fold(spark, sf):
+    sql = F.concat(F.lit("SELECT a FROM p"), F.col("p_partkey").cast("string"), F.lit(" WHERE b IN (SELECT b FROM t"), F.translate("p_brand", "0123456789# ", "abcdefghij__"), F.lit("x WHERE z = 1)"))
+    records = as_records(_t(spark, sf, "part").select(sql.alias("sql"), T.fingerprint(sql).alias("fingerprint"), F.col("p_partkey").alias("record_ord"), F.lit(1).alias("occurrences")))
+    read = statements(records).groupBy(F.when(F.col("parsed.subquery"), "body").otherwise("outer").alias("part"))
+    return read.agg(F.count("*").alias("records"), F.sum("occurrences").alias("occurrences"))
+
+
+@query("advice_without_catalog", LOG + "SELECT 'SIA001' AS rule, 'info' AS severity, event_type AS tbl, 'ALTER TABLE `' || event_type || '` ADD INDEX `idx_' || event_type || '_user_id` (`user_id`);' AS ddl, count(*)::BIGINT AS occurrences FROM log GROUP BY event_type")
+def advice_without_catalog(spark, sf):
+    found = analyse(as_records(patterns(event_log(spark, sf)))).findings
+    return found.select("rule", "severity", F.col("table").alias("tbl"), F.array_join("ddl", " ").alias("ddl"), "occurrences")
+
+
+def orders_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    tables = {n: _t(spark, sf, n) for n in ("orders", "customer", "part")}
+    snapshot = json.loads(catalog_of_tables(tables, {"orders": ["o_orderkey"], "customer": ["c_custkey"], "part": ["p_partkey"]}))
+    for t in snapshot["tables"]:
+        if t["name"] == "orders":
+            t["indexes"].append({"name": "idx_cust", "columns": ["o_custkey", "o_orderstatus", "o_orderdate"]})
+    return catalog_from_json(spark, json.dumps(snapshot))
+
+
+def _of_orders(spark: SparkSession, sf: str, sql: Column, options: Options = Options(), rows: int | None = None) -> DataFrame:
+    """Findings of one statement for each order, by pattern."""
+    source = _t(spark, sf, "orders").select(sql.alias("sql"), F.lit("orders").alias("file"), F.col("o_orderkey").alias("event_ord"), F.lit(1).alias("line"), F.lit(False).alias("ignored"), F.lit("1").cast("decimal(18,6)").alias("query_time"), F.lit(None).cast("decimal(18,6)").alias("lock_time"), F.lit(None).cast("bigint").alias("rows_sent"), F.lit(rows).cast("bigint").alias("rows_examined"))
+    read = statements(as_records(patterns(source)))
+    return run_rules(buckets(read, orders_catalog(spark, sf)), options, True)
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("rule", "severity", F.col("table").alias("tbl"), F.array_join("ddl", " ").alias("ddl"), "rewrite", "occurrences")
+
+
+_ONE = "SELECT '{rule}' AS rule, '{severity}' AS severity, 'orders' AS tbl, {ddl} AS ddl, {rewrite} AS rewrite, count(*)::BIGINT AS occurrences FROM orders"
+
+
+@query("leftmost_gap", _ONE.format(rule="SIA003", severity="warn", ddl="'ALTER TABLE `orders` ADD INDEX `idx_orders_o_custkey_o_orderdate` (`o_custkey`, `o_orderdate`);'", rewrite="NULL::VARCHAR"))
+def leftmost_gap(spark, sf):
+    sql = F.concat(F.lit("SELECT o_orderkey FROM orders WHERE o_custkey = "), F.col("o_custkey").cast("string"), F.lit(" AND o_orderdate > '2020-01-01'"))
+    return _shown(_of_orders(spark, sf, sql, Options(rules=("SIA003",))))
+
+
+@query("covering_extension", _ONE.format(rule="SIA007", severity="error", ddl="'ALTER TABLE `orders` ADD INDEX `idx_orders_o_custkey_o_orderstatus_o_orderdate_o_totalprice` (`o_custkey`, `o_orderstatus`, `o_orderdate`, `o_totalprice`);'", rewrite="NULL::VARCHAR"))
+def covering_extension(spark, sf):
+    sql = F.concat(F.lit("SELECT o_totalprice FROM orders WHERE o_orderstatus = '"), "o_orderstatus", F.lit("' AND o_custkey = "), F.col("o_custkey").cast("string"))
+    return _shown(_of_orders(spark, sf, sql, Options(rules=("sia007",)), 1_000_000))
+
+
+@query("implicit_cast_detect", _ONE.format(rule="SIA005", severity="error", ddl="''", rewrite="'SELECT o_orderkey FROM orders WHERE o_orderpriority = ''5'' AND o_custkey = 1'"))
+def implicit_cast_detect(spark, sf):
+    return _shown(_of_orders(spark, sf, F.lit("SELECT o_orderkey FROM orders WHERE o_orderpriority = 5 AND o_custkey = 1"), Options(rules=("SIA005",))))
+
+
+@query("missing_index_advice", _ONE.format(rule="SIA001", severity="error", ddl="'ALTER TABLE `orders` ADD INDEX `idx_orders_o_orderstatus_o_orderdate_o_totalprice` (`o_orderstatus`, `o_orderdate`, `o_totalprice`);'", rewrite="NULL::VARCHAR"))
+def missing_index_advice(spark, sf):
+    sql = F.concat(F.lit("SELECT * FROM orders o WHERE o.o_totalprice > "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" AND o.o_orderstatus = '"), "o_orderstatus", F.lit("' ORDER BY o.o_orderdate DESC"))
+    return _shown(_of_orders(spark, sf, sql, Options(rules=("SIA001",))))
+
+
+@query("prefix_index_advice", _ONE.format(rule="SIA002", severity="warn", ddl="'ALTER TABLE `orders` ADD INDEX `idx_orders_o_orderpriority` (`o_orderpriority`(128));'", rewrite="NULL::VARCHAR"))
+def prefix_index_advice(spark, sf):
+    return _shown(_of_orders(spark, sf, F.lit("SELECT 1 FROM orders WHERE o_orderpriority = '5-LOW'"), Options(rules=("SIA002",), prefix_bytes=1000)))
+
+
+@query("deep_pagination_advice", _ONE.format(rule="SIA006", severity="warn", ddl="''", rewrite="'SELECT t.`o_orderkey`, t.`o_totalprice` FROM (SELECT `o_orderkey` FROM `orders` WHERE o_custkey = 5 ORDER BY o_totalprice DESC LIMIT 50000, 10) AS page JOIN `orders` t ON t.`o_orderkey` = page.`o_orderkey` ORDER BY t.`o_totalprice` DESC;'"))
+def deep_pagination_advice(spark, sf):
+    return _shown(_of_orders(spark, sf, F.lit("SELECT o.o_orderkey, o.o_totalprice FROM orders o WHERE o.o_custkey = 5 ORDER BY o.o_totalprice DESC LIMIT 50000, 10"), Options(rules=("SIA006",))))
+
+
+@query("sargable_rewrites", "SELECT * FROM (VALUES ('DATE(o_orderdate) = ''1995-03-15''', 'o_orderdate >= ''1995-03-15 00:00:00'' AND o_orderdate < ''1995-03-16 00:00:00'''), ('YEAR(o_orderdate) = 1995', 'o_orderdate >= ''1995-01-01 00:00:00'' AND o_orderdate < ''1996-01-01 00:00:00'''), ('LEFT(o_orderpriority, 3) = ''1-U''', 'o_orderpriority LIKE ''1-U%'''), ('o_orderkey + 1 = 5', 'o_orderkey = 4'), ('DATE(o_orderdate) = ?', 'o_orderdate >= DATE(?) AND o_orderdate < DATE(?) + INTERVAL 1 DAY'), ('LEFT(o_orderpriority, 4) = ''1-U''', NULL), ('DATE(o_orderdate) = ''1995-03-15 10:00:00''', NULL)) v(predicate, rewrite)")
+def sargable_rewrites(spark, sf):
+    predicates = ["DATE(o_orderdate) = '1995-03-15'", "YEAR(o_orderdate) = 1995", "LEFT(o_orderpriority, 3) = '1-U'", "o_orderkey + 1 = 5", "DATE(o_orderdate) = ?", "LEFT(o_orderpriority, 4) = '1-U'", "DATE(o_orderdate) = '1995-03-15 10:00:00'"]
+    texts = spark.createDataFrame([(p, f"SELECT * FROM orders WHERE {p}") for p in predicates], "file string, value string")
+    found = run_rules(buckets(statements(records_from_texts(texts)), orders_catalog(spark, sf)), Options(rules=("SIA004",)), True)
+    return found.select(F.col("file").alias("predicate"), "rewrite")
+
+
+@query("catalog_join", "SELECT * FROM (VALUES ('customer', 'c_name', 'varchar', 1020.0::DOUBLE), ('orders', 'o_orderdate', 'datetime', 8.0), ('orders', 'nothing', NULL, NULL), ('part', 'p_size', 'int', 4.0)) v(tbl, col, kind, key_bytes)")
+def catalog_join(spark, sf):
+    wanted = spark.createDataFrame([("Customer", "c_name"), ("orders", "o_orderdate"), ("orders", "nothing"), ("PART", "p_size")], "t string, col string").withColumn("tbl", F.lower("t"))
+    columns = orders_catalog(spark, sf).select(F.col("name").alias("tbl"), "charset", F.explode("columns").alias("c")).select("tbl", F.col("c.name").alias("col"), F.col("c.type").alias("kind"), T.key_bytes(F.col("c.type"), F.col("c.length"), F.col("charset")).alias("key_bytes"))
+    return wanted.join(columns, ["tbl", "col"], "left").select("tbl", "col", "kind", "key_bytes")
+
+
+@query("prefix_selectivity", "SELECT 'part' AS tbl, count(DISTINCT left(p_name, 6)) / count(DISTINCT p_name)::DOUBLE AS ratio FROM part UNION ALL SELECT 'customer', count(DISTINCT left(c_name, 14)) / count(DISTINCT c_name)::DOUBLE FROM customer")
+def prefix_selectivity(spark, sf):
+    return probes.prefix_selectivity(_t(spark, sf, "part"), "p_name", 6).select(F.lit("part").alias("tbl"), "ratio").unionByName(probes.prefix_selectivity(_t(spark, sf, "customer"), "c_name", 14).select(F.lit("customer").alias("tbl"), "ratio"))
+
+
+@query("flag_selectivity", "SELECT 'orders' AS tbl, count(DISTINCT (o_orderstatus, o_orderpriority)) / count(*)::DOUBLE AS ratio FROM orders UNION ALL SELECT 'lineitem', count(DISTINCT (l_returnflag, l_linestatus)) / count(*)::DOUBLE FROM lineitem")
+def flag_selectivity(spark, sf):
+    return probes.selectivity(_t(spark, sf, "orders"), "o_orderstatus", "o_orderpriority").select(F.lit("orders").alias("tbl"), "ratio").unionByName(probes.selectivity(_t(spark, sf, "lineitem"), "l_returnflag", "l_linestatus").select(F.lit("lineitem").alias("tbl"), "ratio"))
+
+
+EQUIVALENCES = {
+    "date": ("orders", "to_date(o_orderdate) = DATE '1995-03-15'", "o_orderdate >= TIMESTAMP '1995-03-15 00:00:00' AND o_orderdate < TIMESTAMP '1995-03-16 00:00:00'", "o_orderdate::DATE = DATE '1995-03-15'"),
+    "year": ("lineitem", "year(l_shipdate) = 1995", "l_shipdate >= TIMESTAMP '1995-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1996-01-01 00:00:00'", None),
+    "left": ("orders", "left(o_orderpriority, 3) = '1-U'", "o_orderpriority LIKE '1-U%'", None),
+    "arithmetic": ("lineitem", "l_orderkey + 1 > 500", "l_orderkey > 499", None),
+    "dead date": ("events", "CAST(to_date(ts) AS TIMESTAMP) = TIMESTAMP '2024-01-05 10:00:00'", "false", "(ts::DATE)::TIMESTAMP = TIMESTAMP '2024-01-05 10:00:00'"),
+    "or": ("orders", "o_orderstatus = 'F' OR o_orderstatus = 'P'", "o_orderstatus IN ('F', 'P')", None),
+}
+
+
+@query("rewrite_equivalence", " UNION ALL ".join(f"SELECT '{n}' AS shape, count(*) FILTER (WHERE {d or b})::BIGINT AS n_before, count(*) FILTER (WHERE {a})::BIGINT AS n_after, count(*) FILTER (WHERE coalesce({d or b}, false) <> coalesce({a}, false))::BIGINT AS n_differ FROM {t}" for n, (t, b, a, d) in EQUIVALENCES.items()))
+def rewrite_equivalence(spark, sf):
+    out = None
+    for name, (table, before, rewritten, _) in EQUIVALENCES.items():
+        one = probes.differences(_t(spark, sf, table), F.expr(before), F.expr(rewritten), "").select(F.lit(name).alias("shape"), "n_before", "n_after", "n_differ")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_PAGE = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 20 OFFSET "
+
+
+@query("deep_page_offset", _PAGE + "1000")
+def deep_page_offset(spark, sf):
+    return probes.page_by_offset(_t(spark, sf, "orders"), [F.desc("o_totalprice"), F.desc("o_orderkey")], 1000, 20).select("o_orderkey", "o_totalprice")
+
+
+@query("deferred_join", _PAGE + "1000")
+def deferred_join(spark, sf):
+    return probes.page_by_join(_t(spark, sf, "orders"), "o_orderkey", [F.desc("o_totalprice"), F.desc("o_orderkey")], 1000, 20, "o_totalprice").select("o_orderkey", "o_totalprice")
+
+
+@query("keyset_page", _PAGE + "1000")
+def keyset_page(spark, sf):
+    orders = _t(spark, sf, "orders")
+    last = probes.page_by_offset(orders, [F.desc("o_totalprice"), F.desc("o_orderkey")], 999, 1).first()
+    return probes.page_after(orders, "o_totalprice", "o_orderkey", last["o_totalprice"], last["o_orderkey"], 20).select("o_orderkey", "o_totalprice")
+
+
+@query("or_to_union_all", "SELECT o_orderkey FROM orders WHERE o_custkey = 7 OR o_orderstatus = 'P'")
+def or_to_union_all(spark, sf):
+    orders = _t(spark, sf, "orders")
+    first = F.col("o_custkey") == 7
+    return orders.where(first).unionByName(orders.where((F.col("o_orderstatus") == "P") & ~F.coalesce(first, F.lit(False)))).select("o_orderkey")
+
+
+@query("semi_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+def semi_exists(spark, sf):
+    return _t(spark, sf, "customer").join(_t(spark, sf, "orders").where("o_totalprice > 100000"), F.expr("c_custkey = o_custkey"), "left_semi").select("c_custkey")
+
+
+@query("anti_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_not_exists(spark, sf):
+    return _t(spark, sf, "customer").join(_t(spark, sf, "orders"), F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey")
+
+
+def derived_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """A finding for each part: the table is its brand, the columns depend on its size, and it costs its price."""
+    a, b, c = F.lit("a"), F.lit("b"), F.lit("c")
+    shape = F.col("p_size") % 5
+    columns = F.when(shape == 0, F.array(a)).when(shape == 1, F.array(a, b)).when(shape == 2, F.array(b, a)).when(shape == 3, F.array(a, b, c)).otherwise(F.array(b))
+    return _t(spark, sf, "part").select(
+        F.lit("SIA001").alias("rule"), F.when(F.col("p_size") % 3 == 0, "error").otherwise("warn").alias("severity"), F.concat(F.lit("stmt"), (F.col("p_size") % 10).cast("string")).alias("fingerprint"),
+        F.lit(None).cast("double").alias("query_time"), (F.col("p_retailprice") * 100).cast("bigint").alias("rows_examined"), F.lit(1).cast("bigint").alias("occurrences"),
+        F.regexp_replace("p_brand", "#", "_").alias("table"), F.array(T.add_index_ddl(F.regexp_replace("p_brand", "#", "_"), columns)).alias("ddl"), F.lit(None).cast("string").alias("rewrite"), columns.alias("index_columns"),
+        F.col("p_partkey").alias("record_ord"), F.lit(0).alias("body_ord"), F.lit(0).alias("table_ord"), F.lit(0).alias("part"), F.lit("m").alias("message"),
+    )
+
+
+DERIVED = """WITH d AS (SELECT p_partkey, replace(p_brand, '#', '_') AS tbl, CASE WHEN p_size % 3 = 0 THEN 'error' ELSE 'warn' END AS severity, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 1 END AS sev,
+  'stmt' || (p_size % 10) AS fp, CASE p_size % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'a,b' WHEN 2 THEN 'b,a' WHEN 3 THEN 'a,b,c' ELSE 'b' END AS cols, round(CAST(trunc(p_retailprice * 100) AS BIGINT) / 1e6 + 1, 9) AS payoff FROM part),
+u AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY tbl, fp, cols ORDER BY sev DESC, p_partkey) = 1)
+"""
+
+
+@query("dedup_findings", DERIVED + "SELECT tbl, fp, cols, severity, p_partkey AS record_ord FROM u")
+def dedup_findings(spark, sf):
+    return after.deduplicated(derived_findings(spark, sf)).select(F.col("table").alias("tbl"), F.col("fingerprint").alias("fp"), F.array_join("index_columns", ",").alias("cols"), "severity", "record_ord")
+
+
+@query("redundant_index_drop", DERIVED + ", s AS (SELECT *, list_sort(string_split(cols, ',')) AS cset FROM u QUALIFY row_number() OVER (PARTITION BY tbl, list_sort(string_split(cols, ',')) ORDER BY sev DESC, payoff DESC, p_partkey) = 1) SELECT tbl, cols, severity, p_partkey AS record_ord FROM s n WHERE NOT EXISTS (SELECT 1 FROM s w WHERE w.tbl = n.tbl AND length(w.cols) > length(n.cols) AND starts_with(w.cols, n.cols || ','))")
+def redundant_index_drop(spark, sf):
+    found = after.without_redundant(after.with_payoff(after.deduplicated(derived_findings(spark, sf))))
+    return found.select(F.col("table").alias("tbl"), F.array_join("index_columns", ",").alias("cols"), "severity", "record_ord")
+
+
+@query("payoff_rank", LOG + "SELECT event_id, round(query_time::DOUBLE * k * 3 + k / 1e6 + 3, 6) AS payoff FROM log")
+def payoff_rank(spark, sf):
+    return event_log(spark, sf).select(F.col("event_ord").alias("event_id"), F.round(payoff(F.col("query_time"), F.col("rows_examined"), F.lit(3)), 6).alias("payoff"))
+
+
+@query("severity_summary", DERIVED + "SELECT count(*) FILTER (WHERE severity = 'error')::BIGINT AS error, count(*) FILTER (WHERE severity = 'warn')::BIGINT AS warn, 0::BIGINT AS info FROM u")
+def severity_summary(spark, sf):
+    return after.severity_counts(after.deduplicated(derived_findings(spark, sf)))
+
+
+@query("skip_accounting", "WITH n AS (SELECT count(DISTINCT event_type)::BIGINT AS n FROM events) SELECT rule, 'needs a catalog to know existing indexes' AS reason, n AS count, n AS total FROM n, (VALUES ('SIA002'), ('SIA003'), ('SIA005'), ('SIA007')) v(rule)")
+def skip_accounting(spark, sf):
+    return analyse(as_records(patterns(event_log(spark, sf)))).skipped
+
+
+@query("migration_ddl", DERIVED + ", b AS (SELECT tbl, cols, arg_max(severity, sev) AS severity FROM u GROUP BY 1, 2) SELECT '-- SIA001 ' || severity || ': m' || chr(10) || 'ALTER TABLE `' || tbl || '` ADD INDEX `idx_' || lower(tbl) || '_' || replace(cols, ',', '_') || '` (`' || replace(cols, ',', '`, `') || '`);' AS value FROM b")
+def migration_ddl(spark, sf):
+    return sinks.migration(after.with_payoff(after.deduplicated(derived_findings(spark, sf))))
+
+
+@query("windowed_fingerprint", LOG + "SELECT date_trunc('day', ts) AS window_start, fingerprint, count(*)::BIGINT AS occurrences, sum(query_time)::DOUBLE AS total_query_time, max(k) AS max_rows_examined FROM marked GROUP BY 1, 2")
+def windowed_fingerprint(spark, sf):
+    found = windowed_costs(event_log(spark, sf), "1 day")
+    return found.withColumn("total_query_time", F.col("total_query_time").cast("double"))
+
+
+@query("catalog_dump", "SELECT * FROM (VALUES ('customer', 'c_custkey', 1), ('customer', 'c_name', 2), ('customer', 'c_nationkey', 3), ('customer', 'c_acctbal', 4), ('customer', 'c_mktsegment', 5)) v(tbl, col, pos)")
+def catalog_dump(spark, sf):
+    dumped = catalog_from_json(spark, catalog_of_tables({"customer": _t(spark, sf, "customer")}))
+    return dumped.select(F.col("name").alias("tbl"), F.posexplode("columns").alias("i", "c")).select("tbl", F.col("c.name").alias("col"), (F.col("i") + 1).alias("pos"))

@@ -323,5 +323,6 @@ def severity_rank(severity: Column | str) -> Column:
 def run_rules(b: DataFrame, options: Options, has_schema: bool, custom: tuple[Rule, ...] = ()) -> DataFrame:
     """Findings of all chosen rules that have what they need, from min_severity up."""
     rules = [r for r in (*chosen(options), *custom) if has_schema or not r.needs_schema]
+    b = b.persist()  # every rule reads it, and it is as small as the catalog and the distinct patterns are
     found = reduce(DataFrame.unionByName, [r.run(b, options) for r in rules])
     return found.where(severity_rank("severity") >= SEVERITIES[options.min_severity])

@@ -55,7 +55,7 @@ def catalog_of_tables(tables: dict[str, DataFrame], primary: dict[str, list[str]
     """A JSON snapshot of DataFrames' schemas, with the given primary keys, in the order of names."""
     import json
 
-    kinds = {"string": ("varchar", 255), "int": ("int", None), "bigint": ("bigint", None), "double": ("double", None), "timestamp": ("datetime", None), "date": ("date", None)}
+    kinds = {"string": ("varchar", 255), "int": ("int", None), "bigint": ("bigint", None), "double": ("double", None), "timestamp": ("datetime", None), "timestamp_ntz": ("datetime", None), "date": ("date", None)}
     out = []
     for name, df in sorted(tables.items()):
         columns = [{"name": c, "type": kinds.get(k, ("text", None))[0], "length": kinds.get(k, ("text", None))[1]} for c, k in df.dtypes]
