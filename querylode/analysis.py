@@ -59,7 +59,7 @@ def analyse(records: DataFrame, catalog: DataFrame | None = None, options: Optio
     spark = records.sparkSession
     known = catalog if catalog is not None else catalogs.no_catalog(spark)
     read = statements(records)
-    found = after.finished(run_rules(buckets(read, known), options, catalog is not None, custom))
+    found = after.finished(run_rules(buckets(read, known), options, catalog is not None, custom)).persist()  # reports read it again and again
     if polish:
         added = polish(found)
         keys = ["rule", *[c for c in after.ORDER if c != "rule"]]
