@@ -25,5 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-    return {"op10_url_filter": url_filter.oracle(url_filter.default_model(spark))}
+    return {"op10_url_filter": url_filter.oracle(url_filter.default_model())}

@@ -1,7 +1,7 @@
 """URL filters: allow and block rules, and a logistic model of hashed character n-grams for the rest.
 
-Everything a page passes through is a Column expression. The model is fitted once from a small
-labelled table, whose features the same expressions make; its weights are whole numbers of
+Everything a page passes through is a Column expression. The model is fitted once, on the driver, from a small
+labelled table; its weights are whole numbers of
 millionths, so a score is an exact sum wherever it is computed.
 
 Defined results: a null url, or one without "://", has an empty host and path and is judged by the
@@ -12,6 +12,7 @@ empty result.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -95,12 +96,21 @@ class UrlModel:
         return F.aggregate(buckets, F.lit(self.bias).cast("bigint"), lambda total, b: total + F.get(weights, b.cast("int")))
 
 
-def fit(labelled: DataFrame, buckets: int = BUCKETS, epochs: int = 150, rate: float = 0.5, decay: float = 1e-4) -> UrlModel:
-    """Fits to columns url, bad (0 or 1). At most MAX_LABELLED rows, in order of url; the driver does plain batch descent on them."""
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rows = labelled.where("url is not null and bad is not null").select("url", "bad", gram_buckets(F.concat(host, path), buckets).alias("grams")).orderBy("url", "bad").limit(MAX_LABELLED).collect()
+_ADDRESS = re.compile(r"^.*?://([^/?#]*)([^?#]*)", re.S)
+
+
+def grams_of(url: str, buckets: int) -> list[int]:
+    """The buckets of gram_buckets() for one labelled url."""
+    m = _ADDRESS.match(url)
+    k = [ord(c) for c in "^" + (m[1].translate(str.maketrans(UPPER, LOWER)) + m[2] if m else "") + "$"]
+    three = {(k[i] * 961 + k[i + 1] * 31 + k[i + 2]) * 2654435 % buckets for i in range(len(k) - 2)}
+    return sorted(three | {((k[i] * 79507 + k[i + 1] * 1849 + k[i + 2] * 43 + k[i + 3]) * 40503 + 7) % buckets for i in range(len(k) - 3)})
+
+
+def fit(labelled: list[tuple[str, int]], buckets: int = BUCKETS, epochs: int = 150, rate: float = 0.5, decay: float = 1e-4) -> UrlModel:
+    """Plain batch descent on a small table of (url, bad: 0 or 1); at most MAX_LABELLED rows, in order of url."""
     weights, bias = [0.0] * buckets, 0.0
-    data = [(r["grams"], float(r["bad"])) for r in rows]
+    data = [(grams_of(url, buckets), float(bad)) for url, bad in sorted(labelled)[:MAX_LABELLED]]
     for _ in range(epochs if data else 0):
         slope, lean = {}, 0.0
         for grams, bad in data:
@@ -115,6 +125,12 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, epochs: int = 150, rate: fl
     return UrlModel(tuple(round(w * SCALE) for w in weights), round(bias * SCALE))
 
 
+def fit_table(labelled: DataFrame, **options) -> UrlModel:
+    """Fits to a DataFrame's columns url and bad; it must be small, as only MAX_LABELLED rows count."""
+    rows = labelled.where("url IS NOT NULL AND bad IS NOT NULL").select("url", "bad").orderBy("url", "bad").limit(MAX_LABELLED).collect()
+    return fit([(r["url"], r["bad"]) for r in rows], **options)
+
+
 #: Words of the labelled table, after what such hosts and paths are usually made of.
 BAD_WORDS = "cheap-pills adult-x casino-win viagra poker-online porn xxx-video free-cash payday-loan replica-watch sexcam betting-bonus torrent-crack keygen lottery-prize weight-loss-pill escort hot-singles hentai forex-profit".split()
 GOOD_WORDS = "library university news weather museum cooking garden science history music travel school health-guide city-council open-data journal forum-archive docs mapping theatre thander ronther athion nderly stonthe erhand".split()
@@ -132,13 +148,9 @@ def labelled_urls() -> tuple[tuple[str, int], ...]:
     return tuple(out)
 
 
-_FITTED: dict[str, UrlModel] = {}
-
-
-def default_model(spark: SparkSession) -> UrlModel:
-    if "model" not in _FITTED:
-        _FITTED["model"] = fit(spark.createDataFrame(list(labelled_urls()), "url string, bad int"))
-    return _FITTED["model"]
+@lru_cache(maxsize=1)
+def default_model() -> UrlModel:
+    return fit(list(labelled_urls()))
 
 
 def filter_urls(pages: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:
@@ -151,7 +163,7 @@ def filter_urls(pages: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), default_model(spark))
+    return filter_urls(table(spark, sf_dir, "pages"), default_model())
 
 
 def oracle(model: UrlModel, rules=RULES) -> str:

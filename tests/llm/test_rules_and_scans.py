@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from querylode.llm import quality, secrets, url_filter
 
@@ -90,7 +91,7 @@ URLS = [None, "", "no scheme", "://", "http://", "https://A.Example.NET/en/x?y#z
 
 def test_verdicts_equal_sql(spark):
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS * 2)], "page_id long, url string, host string")
-    model = url_filter.default_model(spark)
+    model = url_filter.default_model()
     got = sorted(tuple(r) for r in url_filter.filter_urls(pages, model).collect())
     con = duckdb.connect()
     con.register("pages", pages.toPandas())
@@ -108,12 +109,18 @@ def test_model_on_words_left_out(spark):
     rows = list(url_filter.labelled_urls())
     rng = random.Random(2)
     rng.shuffle(rows)
-    model = url_filter.fit(spark.createDataFrame(rows[:100], "url string, bad int"))
+    model = url_filter.fit_table(spark.createDataFrame(rows[:100], "url string, bad int"))
     test = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows[100:])], "page_id long, url string")
     said = {r.page_id: r.logit > 0 for r in url_filter.filter_urls(test, model, rules=()).collect()}
     assert sum(said[i] == bool(bad) for i, (_, bad) in enumerate(rows[100:])) > 0.8 * len(said)
 
 
+def test_training_sees_the_same_features(spark):
+    df = spark.createDataFrame([(u,) for u in URLS if u is not None], "url string")
+    for r in df.select("url", url_filter.gram_buckets(F.concat(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))).alias("g")).collect():
+        assert sorted(r.g) == url_filter.grams_of(r.url, url_filter.BUCKETS)
+
+
 def test_rules_are_bounded():
     with pytest.raises(ValueError):
         url_filter.rule_columns(None, None, (url_filter.Rule("block", "x"),) * 1000)
