@@ -36,7 +36,7 @@ from querylode.llm.shingles import text_buffer, word_hashes, word_spans
 
 ORDER = 4
 #: Bytes of text in a block, about.
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 #: Codes that are sent to every task (16 bytes each); more are joined.
 BROADCAST = 2_000_000
 END = b"\n"
@@ -66,11 +66,14 @@ def word_blocks(docs: DataFrame, block: int) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             found, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            hashes.clear()
             held = [held_out(i) for i in ids]
             trained = np.bincount(at, np.repeat(~np.array(held), lens), minlength=len(found)).astype(np.int64)
-            keys = found.view(np.int64).tolist()
-            values = ([number], [ids], [held], [lens], [zstandard.compress(at.astype("<u4").tobytes(), 1)], [keys], [[names[k] for k in found.tolist()]], [trained.tolist()])
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, BLOCKS, strict=True)], schema=BLOCKS)
+            words = pa.array([names[k] for k in found.tolist()], pa.binary())
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            indices = zstandard.compress(at.astype("<u4"), 1)
+            columns = [pa.array([number]), one(pa.array(ids, pa.int64())), one(pa.array(held)), one(pa.array(lens, pa.int64())), pa.array([indices], pa.binary()), one(pa.array(found.view(np.int64))), one(words), one(pa.array(trained))]
+            return pa.RecordBatch.from_arrays(columns, schema=BLOCKS)
 
         for batch in batches:
             raw, offsets = text_buffer(batch.column("text"))
