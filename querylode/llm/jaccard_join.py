@@ -308,9 +308,10 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, leve
 
     heads = classes.select(F.col("class_id").alias("doc_id"), "n")
     rare = settle(rare_rows(docs, k, percent, bitmap, bits), "rare")
-    elements = rare.join(heads, "doc_id", "left_semi").select("doc_id", F.explode("rare").alias("el"))
+    placed = rare.join(heads, "doc_id", "left_semi").select("doc_id", F.size("rare").alias("size"), F.posexplode("rare").alias("i", "el"))
+    elements = placed.select("doc_id", "el", (F.col("size") - F.col("i") - 1).alias("place"))  # the rarest comes first
     shared = elements.groupBy("el").count().where("count > 1").select("el")
-    runs = settle(elements.join(shared, "el").join(heads, "doc_id").select("el", "doc_id", "n").distinct(), "runs")
+    runs = settle(elements.join(shared, "el").join(heads, "doc_id").select("el", "doc_id", "n", "place").distinct(), "runs")
     drop_settled(rare)
     release(spark)
 
@@ -331,13 +332,14 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, leve
         if stage < STAR_ROUNDS:
             # the first centre is the likeliest original; later ones are any members, others in each run
             order = -F.col("degree") if stage == 0 else F.xxhash64("doc_id", "el", F.lit(stage)).cast("double")
-            centres = open_runs.groupBy("el").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))).alias("c")).select("el", "c.a", "c.an", "c.ac")
-            met = open_runs.select("el", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc")).join(centres, "el")
+            centres = open_runs.groupBy("el").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("place").alias("ap"))).alias("c")).select("el", "c.a", "c.an", "c.ac", "c.ap")
+            met = open_runs.select("el", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("place").alias("bp")).join(centres, "el")
         else:
-            left = open_runs.select("el", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-            right = open_runs.select("el", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
+            left = open_runs.select("el", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("place").alias("ap"))
+            right = open_runs.select("el", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("place").alias("bp"))
             met = left.join(right, "el").where("a < b")
-        met = met.where(f"ac <> bc AND 100 * least(an, bn) >= {percent} * greatest(an, bn)")
+        # before its first common element a pair shares nothing, so no more than what comes from there on
+        met = met.where(f"ac <> bc AND 100 * least(an, bn) >= {percent} * greatest(an, bn) AND {100 + percent} * least(an - ap, bn - bp) >= {percent} * (an + bn)")
         pairs = met.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a"))
         pairs = pairs.withColumn("b", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")))
         if tried is not None:
