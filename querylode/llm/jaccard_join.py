@@ -156,11 +156,29 @@ def rare_rows(docs: DataFrame, k: int, percent: int, bitmap, bits: int) -> DataF
     return docs.mapInArrow(run, "doc_id long, rare array<long>")
 
 
-def ordered_sets(docs: DataFrame, k: int, bitmap, bits: int) -> DataFrame:
-    """doc_id, the whole ordered set (8 bytes big-endian an element, so that bytes compare as elements do), and its histogram over CELLS cells (a byte each; 255: or more)."""
+def id_bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the low bits of each doc_id; the driver gets the bitmap's words only, 2**(bits - 6) at most."""
+    slot = F.col("doc_id").bitwiseAND((1 << bits) - 1)
+    words = ids.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(doc_id & 63 AS INT))")).alias("mask")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    return bitmap
+
+
+def ordered_sets(docs: DataFrame, k: int, bitmap, bits: int, wanted) -> DataFrame:
+    """doc_id, the whole ordered set (8 bytes big-endian an element, so that bytes compare as elements do), and its histogram over CELLS cells (a byte each; 255: or more).
+
+    Only of documents in the bitmap of wanted ids, so texts need no exchange; the few others that it lets through do no harm.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("doc_id")
+            slots = ids.fill_null(0).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)
+            held = ((wanted.value[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1)).astype(bool)
+            batch = batch.filter(pa.array(held & ids.is_valid().to_numpy(zero_copy_only=False)))
+            if not batch.num_rows:
+                continue
             sets = shingle_sets(batch.column("text"), k)
             blobs = [globally_ordered(s, bitmap.value, bits).astype(">u8").tobytes() for s in sets]
             cells = [np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
@@ -299,7 +317,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, leve
     if not 50 <= percent <= 100:
         raise ValueError("the bound must lie between 50 and 100 percent")
     spark = documents.sparkSession
-    small_batches(spark)
+    small_batches(spark, 300)  # the arrays of a batch take some 50 bytes for each of text
     docs = doc_text(documents)
     rows = settle(set_rows(docs, k), "sets")
     classes = settle(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n")), "classes")
@@ -318,7 +336,8 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, leve
     # how many of a set's rare elements others have: an original has more such than its altered copies
     degrees = runs.groupBy("doc_id").agg((F.count("*") / F.first("n")).alias("degree"))
     runs = settle(runs.join(degrees, "doc_id"), "runs")
-    sets = settle(ordered_sets(docs.join(degrees.select("doc_id"), "doc_id", "left_semi"), k, bitmap, bits), "ordered")
+    wanted = spark.sparkContext.broadcast(id_bitmap(runs.select("doc_id"), bits))
+    sets = settle(ordered_sets(docs, k, bitmap, bits, wanted), "ordered")
     release(spark)
     links, tried, labels = None, None, None
     for stage in range(STAR_ROUNDS + 1):
@@ -356,6 +375,10 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, leve
         drop_settled(known)
         release(spark)
 
+    # what the comparisons read goes before the result's own exchanges come
+    drop_settled(sets)
+    drop_settled(runs)
+    release(spark)
     if labels is None:
         comps = classes.select("sig", "class_id", F.col("class_id").alias("component_id"))
     else:
