@@ -291,7 +291,7 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 def score(documents: DataFrame, block: int = BLOCK, limit: int = BROADCAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of documents."""
     spark = documents.sparkSession
-    small_batches(spark)
+    small_batches(spark, 200)  # the arrays of a batch take some 50 bytes for each of text
     blocks = settle(word_blocks(doc_text(documents), block), "blocks")
     each = blocks.select(F.explode(F.arrays_zip("keys", "words", "trained")).alias("w")).select(F.col("w.keys").alias("key"), F.col("w.words").alias("word"), F.col("w.trained").alias("trained"))
     words = settle(each.groupBy("key").agg(F.first("word").alias("word"), F.sum("trained").alias("c")), "words")
