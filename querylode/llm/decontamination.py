@@ -7,7 +7,8 @@ each chunk, so any segment lies whole in some passage.
 For each passage the terms' largest impacts in a block of segments are added up; terms that many items hold are not expanded
 but allowed for by the most they can add to the block. Only where that bound reaches the threshold are the block's
 segments scored. What is above it is verified against the text: enough of the item's 3-word shingles must occur near the
-passage, of its question and of its answer each.
+passage, of its question and of its answer each. A part of one or two words is one shingle, which counts only beside a shingle
+of the other part, as a word alone occurs anywhere.
 
 The index is the benchmark, which has a checked size: beyond MAX_INDEX_BYTES of text it is searched slice by slice.
 
@@ -39,6 +40,8 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.6, 0.5
 #: Terms in more than this share of the segments are allowed for by a bound only.
 COMMON = 0.1
+#: Words between a part of fewer than WIDTH words and the other part's nearest shingle, at most.
+WIDTH, BESIDE = 3, 16
 MAX_INDEX_BYTES = 32 << 20
 MAX_SLICES = 64
 
@@ -66,7 +69,25 @@ def hashed(texts: list[str]) -> list[np.ndarray]:
 
 
 def grams(words: np.ndarray) -> np.ndarray:
-    return combined(words, min(3, len(words))) if len(words) else words
+    return combined(words, min(WIDTH, len(words))) if len(words) else words
+
+
+def shares(words: np.ndarray, parts: list[np.ndarray], widths: list[int]) -> list[float]:
+    """The share of each part's distinct shingles of its width that occur in the words; of a short part, beside the other's."""
+    runs = [combined(words, w) if w else words[:0] for w in widths]
+    places = [np.flatnonzero(np.isin(r, p)) for r, p in zip(runs, parts, strict=True)]
+    held = []
+    for k, (run, part, at) in enumerate(zip(runs, parts, places, strict=True)):
+        if 0 < widths[k] < WIDTH and widths[1 - k]:
+            other = places[1 - k]
+            # the last that begins at or before this one, and the first that begins after it
+            after = np.searchsorted(other, at, "right")
+            gap = np.full((2, len(at)), BESIDE + 1)
+            gap[0, after > 0] = at[after > 0] - other[after[after > 0] - 1] - widths[1 - k]
+            gap[1, after < len(other)] = other[after[after < len(other)]] - at[after < len(other)] - widths[k]
+            at = at[gap.min(axis=0, initial=BESIDE + 1) <= BESIDE]
+        held.append(len(np.unique(run[at])) / len(part) if len(part) else 1.0)
+    return held
 
 
 class Index:
@@ -76,7 +97,9 @@ class Index:
         self.threshold = threshold
         self.items = [item_id for item_id, _ in items]
         words = hashed([text or "" for _, text in items])
-        self.parts = [[np.unique(grams(p)) for p in hashed(list(question_and_answer(text or "")))] for _, text in items]
+        parts = [hashed(list(question_and_answer(text or ""))) for _, text in items]
+        self.parts = [[np.unique(grams(p)) for p in pair] for pair in parts]
+        self.widths = [[min(WIDTH, len(p)) for p in pair] for pair in parts]
         self.length = [len(w) for w in words]
         self.item_of: list[int] = []
         segments: list[np.ndarray] = []
@@ -188,10 +211,10 @@ def search(column: pa.Array, index: Index, overlap: float) -> Iterator[tuple[int
             if (row, i) in best and best[row, i][0] >= score:
                 continue
             reach = max(0, index.length[i] - SEGMENT)
-            near = grams(words[max(int(rows[row]), begin - reach) : min(int(rows[row + 1]), end + reach)])
-            shares = [float(np.isin(p, near).mean()) if len(p) else 1.0 for p in index.parts[i]]
-            if min(shares) >= overlap:
-                best[row, i] = (score, shares[0], shares[1], begin - int(rows[row]))
+            near = words[max(int(rows[row]), begin - reach) : min(int(rows[row + 1]), end + reach)]
+            held = shares(near, index.parts[i], index.widths[i])
+            if min(held) >= overlap:
+                best[row, i] = (score, held[0], held[1], begin - int(rows[row]))
     for (row, i), found in best.items():
         yield row, index.items[i], *found
 

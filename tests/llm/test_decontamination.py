@@ -1,4 +1,5 @@
 import random
+import re
 
 from querylode.llm.decontamination import Index, drop_leaking, find_leaks, grams, hashed, question_and_answer
 
@@ -74,3 +75,27 @@ def test_questions_and_answers():
     assert question_and_answer("How far? Ten miles.") == ("How far?", " Ten miles.")
     assert question_and_answer("Q: how far Answer: ten") == ("Q: how far ", " ten")
     assert question_and_answer("a b c") == ("a b", "c")
+
+
+def plain_words(text):
+    return re.findall(r"[0-9a-z]+", text.lower())
+
+
+def holds_run(text, item):
+    w, i = plain_words(text), plain_words(item)
+    return any(w[k : k + len(i)] == i for k in range(len(w) - len(i) + 1))
+
+
+def test_whole_copies_of_items_with_short_parts(spark):
+    rng = random.Random(4)
+    questions = ["Which town on the river Ouse holds the winter fair", "Who painted the blue horses of Sindelsdorf", "Is the moon of Pluto larger than Ceres"]
+    items = list(enumerate([f"{questions[0]}? Answer: Paris", f"{questions[1]}? Answer: B", f"{questions[2]}? Yes", f"{questions[0]} in May? Answer: New York", "Capital? The largest town of Gelderland", "Why? Because", "zirconium flute", "amber quartz violin", "seven grey geese flew south"]))
+    docs = [(d, " ".join([*words(rng, at), *(w.upper() if d % 2 else w for w in text.split()), *words(rng, 120)])) for at in (0, 20, 95, 300) for d, (_, text) in ((10 * at + i, items[i]) for i in range(len(items)))]
+    far = (9000, " ".join([questions[0], *words(rng, 40), "Paris"]))
+    apart = (9001, " ".join(["Why", *words(rng, 40), "because"]))
+    docs += [far, apart, (9002, questions[1] + "?"), (9003, " ".join(words(rng, 200)))]
+    planted = {(d, i) for d, text in docs for i, item in items if holds_run(text, item)}
+    assert len(planted) == 4 * len(items)
+    found = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert planted <= found
+    assert not {d for d, _ in found} & {9000, 9001, 9002, 9003}
