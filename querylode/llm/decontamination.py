@@ -5,7 +5,7 @@ of the segment's own score, so one threshold serves all. Passages are windows of
 each chunk, so any segment lies whole in some passage.
 
 For each passage the terms' largest impacts in a block of segments are added up; terms that many items hold are not expanded
-but allowed for by the most they can add to the block. Only where that bound reaches the threshold are the block's
+but allowed for by the most they can add to the block, except in segments that reach the threshold by such terms alone. Only where that bound reaches the threshold are the block's
 segments scored. What is above it is verified against the text: enough of the item's 3-word shingles must occur near the
 passage, of its question and of its answer each. A part of one or two words is one shingle, which counts only beside a shingle
 of the other part, as a word alone occurs anywhere.
@@ -121,16 +121,19 @@ class Index:
         self.segment_impacts = [dict(postings[t]) for t in range(len(self.terms))]
         blocks = -(-n // BLOCK)
         slack = np.zeros(n)
+        common = [len(postings[t]) > max(1, COMMON * n) for t in range(len(self.terms))]
+        for t in np.flatnonzero(common).tolist():
+            for k, x in postings[t]:
+                slack[k] += x
+        # a segment that its common terms alone may report is found by all of its terms
+        whole = slack >= threshold - 1e-9
+        slack[whole] = 0.0
         rows: list[list[tuple[int, float]]] = []
         for t in range(len(self.terms)):
-            if len(postings[t]) > max(1, COMMON * n):
-                for k, x in postings[t]:
-                    slack[k] += x
-                rows.append([])
-                continue
             most: dict[int, float] = {}
             for k, x in postings[t]:
-                most[k // BLOCK] = max(most.get(k // BLOCK, 0.0), x)
+                if not common[t] or whole[k]:
+                    most[k // BLOCK] = max(most.get(k // BLOCK, 0.0), x)
             rows.append(sorted(most.items()))
         self.blocks, self.n = blocks, n
         self.begin = np.cumsum([0, *map(len, rows)])

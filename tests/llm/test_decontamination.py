@@ -99,3 +99,18 @@ def test_whole_copies_of_items_with_short_parts(spark):
     found = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert planted <= found
     assert not {d for d, _ in found} & {9000, 9001, 9002, 9003}
+
+
+def test_repeated_items_and_slices(spark):
+    rng = random.Random(12)
+    twice, often = " ".join(words(rng, 20)), " ".join(words(rng, 30))
+    few = [(1, twice), (2, twice)]
+    many = [(i, often if i % 5 == 0 else " ".join(words(rng, 25))) for i in range(60)]
+    docs = [(1, " ".join([*words(rng, 50), twice, *words(rng, 70)])), (2, " ".join([*words(rng, 10), often])), (3, " ".join(words(rng, 200)))]
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    for items in (few, many, few + [(100 + i, t) for i, t in many]):
+        benchmark = spark.createDataFrame(items, "item_id long, text string")
+        planted = {(d, i) for d, text in docs for i, item in items if holds_run(text, item)}
+        assert len(planted) >= 2
+        for max_bytes in (1 << 20, 700):
+            assert {(r.doc_id, r.item_id) for r in find_leaks(documents, benchmark, max_bytes=max_bytes).collect()} == planted
