@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and the novelty of strings in sensitive places by dictionary-primed zstandard.
 
 Base spans are the leftmost non-overlapping matches of each pattern in the whole text, kept if long enough. Beyond
-them, a string near a sensitive word (key, auth, credential ...) is a candidate. The compressor is primed with a dictionary of
-common code identifiers and the text around, and the candidate's marginal bytes are what its presence adds to the
-compressed surroundings. An identifier, a path or a repeated name adds little; a key adds nearly
-its own length, and is reported as "novel".
+them, every string that begins near a sensitive word (key, auth, credential ...) is a candidate, as far as it runs. The compressor
+is primed with a dictionary of common code identifiers and the text around, and its marginal bytes are what it adds to them
+compressed. A known name or path, or a repeated name, adds little; a key adds nearly its own length, and is
+reported as "novel", unless its letters follow each other as those of words do. A candidate that isn't is tried in the
+parts between the sensitive words in it.
 
 Spans are code points of the text, the end exclusive. Defined results: a null or empty text has no spans; repeated
 rows are scanned alike; long texts are scanned whole; extra columns are left out (redact() keeps them); an empty
@@ -13,6 +14,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections.abc import Iterator
 
@@ -35,6 +38,7 @@ _HINTS = (b"pass", b"key", b"secret", b"token", b"cred", b"bearer", b"auth", b"p
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=~!@#$%^&*.-]{16,}")
 #: Bytes after a sensitive word within which a candidate begins, and of the surroundings on either side.
 REACH, AROUND = 48, 512
+MIN_CANDIDATE = 16
 #: Least marginal bytes for each byte of a candidate.
 NOVELTY = 0.85
 
@@ -49,6 +53,52 @@ IDENTIFIERS = (
 )
 
 
+#: Words whose letters show how those of names follow each other.
+WORDS = (
+    b"the of and that with this from they have which their would there about other were what your when more these some time could people than first been into only over new "
+    b"between through government international development information administration characteristics responsibility representation understanding communication organization "
+    b"relationship environmental approximately particularly traditional performance university knowledge individual experience independent significant professional "
+    b"management technology production successful opportunity established throughout neighborhood straightforward nevertheless strength thought language question "
+    b"company president history family business science children water school health policy market political economic physical medical analysis example problem system "
+    b"subject program support beautiful different important possible available everything something because however although together especially industry employee"
+)
+KINDS_OF = bytes(1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 0 for c in range(256))
+#: How often a small letter, a capital or a digit (1, 2, 3) comes after one in names.
+TURNS = {(1, 1): 0.88, (1, 2): 0.08, (1, 3): 0.04, (2, 1): 0.4, (2, 2): 0.55, (2, 3): 0.05, (3, 1): 0.075, (3, 2): 0.075, (3, 3): 0.85}
+
+
+def _pairs() -> dict[tuple[int, int], float]:
+    """Bits of each pair of letters or digits in names: the second, given the first."""
+    seen: dict[tuple[int, int], float] = {}
+    for word in re.findall(rb"[a-z]+", (IDENTIFIERS.replace(b"abcdefghijklmnopqrstuvwxyz", b"") + b" " + WORDS).lower()):
+        for pair in zip(word, word[1:], strict=False):
+            seen[pair] = seen.get(pair, 0.0) + 1
+    after = {x: sum(seen.get((x, y), 0.0) for y in range(97, 123)) for x in range(97, 123)}
+    bits = {}
+    for x in range(256):
+        for y in range(256):
+            kinds = KINDS_OF[x], KINDS_OF[y]
+            if kinds in TURNS:
+                low = x | 32, y | 32
+                given = 0.1 if kinds[1] == 3 else 1 / 26 if kinds == (1, 2) or kinds[0] == 3 else (seen.get(low, 0.0) + 0.3) / (after[low[0]] + 7.8)
+                bits[x, y] = -math.log2(TURNS[kinds] * given)
+    return bits
+
+
+PAIRS = _pairs()
+
+
+_HEX_ONLY = re.compile(rb"[^A-Za-z]*(?:[a-f][^A-Zg-z]*|[A-F][^G-Za-z]*)?")
+
+
+def wordlike(candidate: bytes) -> bool:
+    """Whether its letters and digits take fewer bits as a name than as random ones of its alphabet."""
+    bits = [PAIRS[p] for p in zip(candidate, candidate[1:], strict=False) if p in PAIRS]
+    kinds = set(candidate.translate(KINDS_OF))
+    alphabet = 16 if _HEX_ONLY.fullmatch(candidate) else 26 * (1 in kinds) + 26 * (2 in kinds) + 10 * (3 in kinds)
+    return bool(bits) and sum(bits) < len(bits) * math.log2(alphabet)
+
+
 class Novelty:
     def __init__(self, level: int = 9):
         self.level = level
@@ -62,10 +112,26 @@ class Novelty:
         return (len(packer.compress(b" " + candidate)) - len(packer.compress(b" "))) / len(candidate)
 
 
-def mixed(candidate: bytes) -> bool:
-    """A digit and a letter, and more than one change between them: not a word, a number, or a word with a number."""
-    kinds = [48 <= c <= 57 for c in candidate if chr(c).isalnum()]
-    return sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) >= 3
+def outside(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the taken spans (in order, apart) leave of a candidate, if long enough."""
+    for a, b in taken[bisect.bisect_left(taken, start, key=lambda t: t[1]) :]:
+        if a >= end:
+            break
+        if a - start >= MIN_CANDIDATE:
+            yield start, a
+        start = max(start, b)
+    if end - start >= MIN_CANDIDATE:
+        yield start, end
+
+
+def candidates(text: bytes) -> Iterator[tuple[int, int]]:
+    """Every run that begins after a sensitive word and within its reach, to its end, once."""
+    reached = 0
+    for word in SENSITIVE.finditer(text):
+        at, last = max(word.end(), reached), word.end() + REACH
+        while at <= last and (m := CANDIDATE.search(text, at, last + MIN_CANDIDATE)):
+            at = reached = CANDIDATE.match(text, m.start()).end()
+            yield m.start(), at
 
 
 def spans(text: bytes, novelty: Novelty, least: float = NOVELTY) -> list[tuple[str, int, int]]:
@@ -79,14 +145,24 @@ def spans(text: bytes, novelty: Novelty, least: float = NOVELTY) -> list[tuple[s
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if hinted:
-        taken, seen = sorted((a, b) for _, a, b in found), set()
-        for word in SENSITIVE.finditer(text):
-            m = CANDIDATE.search(text, word.end(), word.end() + REACH + 4096)
-            if not m or m.start() > word.end() + REACH or m.start() in seen or any(a < m.end() and m.start() < b for a, b in taken):
-                continue
-            seen.add(m.start())
-            if mixed(m[0]) and novelty.ratio(text, m.start(), m.end()) >= least:
-                found.append(("novel", m.start(), m.end()))
+        taken: list[tuple[int, int]] = []
+        for _, a, b in sorted(found, key=lambda s: s[1]):
+            if taken and a <= taken[-1][1]:
+                taken[-1] = taken[-1][0], max(b, taken[-1][1])
+            else:
+                taken.append((a, b))
+
+        def novel(a: int, b: int) -> bool:
+            return not wordlike(text[a:b]) and novelty.ratio(text, a, b) >= least
+
+        for run in candidates(text):
+            for a, b in outside(*run, taken):
+                if novel(a, b):
+                    found.append(("novel", a, b))
+                    continue
+                cuts = [a, *(w.end() for w in SENSITIVE.finditer(text, a, b)), b]
+                if len(cuts) > 2:
+                    found += [("novel", x, y) for x, y in zip(cuts, cuts[1:], strict=False) if y - x >= MIN_CANDIDATE and novel(x, y)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

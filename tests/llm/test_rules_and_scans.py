@@ -124,3 +124,25 @@ def test_training_sees_the_same_features(spark):
 def test_rules_are_bounded():
     with pytest.raises(ValueError):
         url_filter.rule_columns(None, None, (url_filter.Rule("block", "x"),) * 1000)
+
+
+ALPHABETS = {"letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "small": "abcdefghijklmnopqrstuvwxyz", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "HEX": "0123456789ABCDEF", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+AROUND = "we set up the service yesterday and it has worked well enough since then for all of the people here. "
+
+
+def covered(text, key):
+    """Whether one span holds each copy of the key."""
+    found = secrets.spans(text.encode(), secrets.Novelty())
+    return all(any(a <= m.start() and m.end() <= b for _, a, b in found) for m in re.finditer(re.escape(key), text))
+
+
+def test_every_string_near_a_sensitive_word_is_measured():
+    rng = random.Random(8)
+    for kind, n in (("letters", 16), ("letters", 24), ("small", 24), ("base62", 16), ("base62", 20), ("base64", 24)):
+        keys = ["".join(rng.choice(ALPHABETS[kind]) for _ in range(n)) for _ in range(100)]
+        for before in ("auth: https://host.example/some/path ", "Authorization header with ConnectionTimeoutHandler "):
+            assert sum(covered(AROUND + before + key + " " + AROUND, key) for key in keys) >= 98, (kind, n)
+    for text in ("the authorization of internationalization and characteristically", "access_token request_response_header ConnectionTimeoutHandler123", "auth: https://host.example/some/path/index.html", "api key 2023-10-05-12-34-56-78"):
+        assert secrets.spans((AROUND + text + " " + AROUND).encode(), secrets.Novelty()) == []
+    assert covered("auth https://host.example/service/settings/token/q8Zr3kP0vX7tLm2Ws9Yb4Nd6", "q8Zr3kP0vX7tLm2Ws9Yb4Nd6")
+    assert len(list(secrets.candidates(b"auth" * 100_000))) == 1
