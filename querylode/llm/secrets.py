@@ -2,8 +2,9 @@
 
 Base spans are the leftmost non-overlapping matches of each pattern in the whole text, kept if long enough. Beyond
 them, every string that begins near a sensitive word (key, auth, credential ...) is a candidate, as far as it runs. The compressor
-is primed with a dictionary of common code identifiers and the text around, and its marginal bytes are what it adds to them
-compressed. A known name or path, or a repeated name, adds little; a key adds nearly its own length, and is
+is primed with a dictionary of common code identifiers, the text around without the candidate's copies, and what comes before in
+the candidate; its marginal bytes are what each window of it adds. A window is so short that zstandard leaves its literals raw, so
+the alphabet and the length of a key don't count. A known name or path adds little; a key adds nearly its own length, and is
 reported as "novel", unless its letters follow each other as those of words do. A candidate that isn't is tried in the
 parts between the sensitive words in it.
 
@@ -39,6 +40,8 @@ CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=~!@#$%^&*.-]{16,}")
 #: Bytes after a sensitive word within which a candidate begins, and of the surroundings on either side.
 REACH, AROUND = 48, 512
 MIN_CANDIDATE = 16
+#: zstandard codes 63 literals and more by their frequency.
+WINDOW = 48
 #: Least marginal bytes for each byte of a candidate.
 NOVELTY = 0.85
 
@@ -106,10 +109,13 @@ class Novelty:
     def ratio(self, text: bytes, start: int, end: int) -> float:
         """Marginal compressed bytes of text[start:end] for each of its bytes, given the surroundings without it."""
         candidate = text[start:end]
-        around = text[max(0, start - AROUND) : start] + b" " + text[end : end + AROUND]
-        primer = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        packer = zstandard.ZstdCompressor(level=self.level, dict_data=primer, write_content_size=False, write_dict_id=False)
-        return (len(packer.compress(b" " + candidate)) - len(packer.compress(b" "))) / len(candidate)
+        around = (text[max(0, start - AROUND) : start] + b" " + text[end : end + AROUND]).replace(candidate, b" ")
+        added = 0
+        for at in range(0, len(candidate), WINDOW):
+            primer = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around + b"\n" + candidate[max(0, at - AROUND) : at], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            packer = zstandard.ZstdCompressor(level=self.level, dict_data=primer, write_content_size=False, write_dict_id=False)
+            added += len(packer.compress(b" " + candidate[at : at + WINDOW])) - len(packer.compress(b" "))
+        return added / len(candidate)
 
 
 def outside(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:

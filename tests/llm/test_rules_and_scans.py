@@ -146,3 +146,14 @@ def test_every_string_near_a_sensitive_word_is_measured():
         assert secrets.spans((AROUND + text + " " + AROUND).encode(), secrets.Novelty()) == []
     assert covered("auth https://host.example/service/settings/token/q8Zr3kP0vX7tLm2Ws9Yb4Nd6", "q8Zr3kP0vX7tLm2Ws9Yb4Nd6")
     assert len(list(secrets.candidates(b"auth" * 100_000))) == 1
+
+
+def test_long_and_repeated_keys_are_novel():
+    rng = random.Random(9)
+    for kind, n in (("base64", 400), ("base64", 4000), ("HEX", 80), ("base62", 1024), ("base62", 20_000)):
+        for _ in range(5):
+            key = "".join(rng.choice(ALPHABETS[kind]) for _ in range(n))
+            assert covered(AROUND + "Authorization: Bearer " + key + " " + AROUND, key), (kind, n)
+    key = "q8Zr3kP0vX7tLm2Ws9Yb4Nd6"
+    assert covered(f"{AROUND} auth header {key} and again auth header {key} {AROUND}", key)
+    assert secrets.spans((AROUND + "auth " + "=-" * 3000 + " " + AROUND).encode(), secrets.Novelty()) == []
