@@ -365,7 +365,12 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, leve
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
         pairs = settle(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            # centres may have no likely pair where other members have one
+            if stage == STAR_ROUNDS or mixed.isEmpty():
+                break
+            drop_settled(pairs)
+            drop_settled(known)
+            continue
         near = settle(possible(pairs.select("a", "b"), sets, percent), "near")
         fresh = settle(verify(near, sets, percent), "found")
         if not fresh.isEmpty():

@@ -89,3 +89,13 @@ def test_tree_prunes_nothing_that_links():
     for _, probe in sets[::7]:
         want = {k for k, s in sets if 100 * len(set(s) & set(probe)) >= 60 * len(set(s) | set(probe))}
         assert set(tree.linked(blob(probe), 60)) == want
+
+
+def test_members_link_where_no_centre_does(spark):
+    words = [f"word{i}" for i in range(13)]
+    rows = [(1, " ".join([*words, "last"])), (2, " ".join([*words, "other"]))]
+    rows += [(10 + i, " ".join(words[i : i + 5])) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    comps = brute(rows)[0]
+    assert comps[2] == 1
+    assert {r.doc_id: r.component_id for r in jaccard_components(docs, levels=(3, 9), bits=12).collect()} == comps
