@@ -392,12 +392,23 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, leve
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, with all columns; of rows that share a doc_id one stays."""
-    stay = jaccard_components(documents, **options).where("doc_id = component_id").select("doc_id")
-    kept = documents.join(stay, "doc_id", "left_semi").select(*documents.columns)
-    if documents.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    """The documents that are the smallest doc_id of their component, with all columns. Rows with a null doc_id, which come last, or with a doc_id that
+    repeats are documents of their own, in the order of hashes of what they hold; of rows of one doc_id without words one stays."""
+    odd = documents.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
+    if odd.isEmpty():
+        stay = jaccard_components(documents, **options).where("doc_id = component_id").select("doc_id")
+        return documents.join(stay, "doc_id", "left_semi").select(*documents.columns)
+    key = "row_key_"
+    held = [F.xxhash64("text"), F.xxhash64(*[c for c, kind in documents.dtypes if "map<" not in kind and kind != "variant"])]
+    dealt = documents.withColumns({f"{key}{k}": h for k, h in enumerate(held)})
+    order = [F.col("doc_id").asc_nulls_last(), F.col(f"{key}0"), F.col(f"{key}1")]
+    # numbers rise from task to task and within each
+    rows = settle(dealt.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()).drop(f"{key}0", f"{key}1"), "rows")
+    found = jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), **options).where("doc_id = component_id").select(F.col("doc_id").alias(key), "n_shingles")
+    stay = settle(found, "stay")
+    empty = rows.where("doc_id IS NOT NULL").join(stay.where("n_shingles = 0"), key, "left_semi").groupBy("doc_id").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = rows.join(stay.where("n_shingles = 0"), key, "left_semi").join(empty, "doc_id").where(F.col(key) > F.col("first")).select(key)
+    return rows.join(stay, key, "left_semi").join(again, key, "left_anti").select(*documents.columns)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

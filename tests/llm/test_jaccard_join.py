@@ -99,3 +99,11 @@ def test_members_link_where_no_centre_does(spark):
     comps = brute(rows)[0]
     assert comps[2] == 1
     assert {r.doc_id: r.component_id for r in jaccard_components(docs, levels=(3, 9), bits=12).collect()} == comps
+
+
+def test_null_and_repeated_ids_stay(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(12))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (1, text("a")), (2, text("d")), (2, text("e")), (2, text("d")), (3, ""), (3, None), (4, text("e")), (None, None)]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string"), levels=(3, 9), bits=12)
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
+    assert got == sorted([(None, text("b")), (None, text("c")), (None, ""), (1, text("a")), (2, text("d")), (2, text("e")), (3, "")], key=str)
