@@ -1,21 +1,27 @@
 """N-gram Jaccard join by prefix trees.
 
 Documents are sets of word shingles; two are linked when 100 * intersection >= percent * union. All
-elements have one global order: common ones first, then by hash. A pair that reaches the bound must share one
-of the last (rarest) n - ceil(percent * n / 100) + 1 elements of each, so only sets that share one of
-those are compared. How common an element is, by a few levels, is kept in bitmaps of fixed size; what they confuse only moves an
-element in the order, which is the same for all sets, so no link is lost.
-
-Copies (equal sets) are one node. Nodes that share a rare element form a run. A run is not expanded into pairs:
-its members are first held against one centre, the links found are merged into components, and
-only members of different components are compared further, until none are left. Each comparison stores
-the members' ordered sets in a prefix tree and walks it with the centre's set: sets with a common beginning share
-the partial overlap, and a subtree ends where the overlap plus all that remains cannot reach the bound.
+elements have one global order: rare ones first, then by hash. A pair that reaches the bound must share one
+of the first (rarest) n - ceil(percent * n / 100) + 1 elements of each, so only sets that share one of
+those meet. How common an element is, by a few levels, is kept in bitmaps of fixed size; elements of the lowest level
+are in one set only and meet nothing. What the bitmaps confuse only moves an element in the order, which is the same for
+all sets, or lets a lone element through, so no link is lost; at sizes where they fill up the order becomes that of hashes.
+
+Equal sets are one node, named by the 128-bit hash of the set. Nodes that share a rare element form a run.
+1. Star rounds: each run's members meet one centre of it; the links found are merged into components, and only runs that
+   hold several components go on. So a large group of near copies costs a few comparisons a member, not all its pairs.
+2. Tree round: each run left is stored as a prefix tree of its members' rare elements and walked with each member. Sets with a
+   common beginning share the partial overlap; a subtree ends where the overlap and what remains of either side cannot reach the bound,
+   or where the pair's rarest common element is another one, in whose run it is found. A run of more than RUN_BLOCK members
+   is dealt as pairs of blocks, so no task holds more than two blocks of a hot run.
+The pairs that come out are compared in whole: the sets that meet one node are a prefix tree too, walked with that node's set.
+Texts are read and hashed again for each pass (sizes, counts, rare elements, the few whole sets that are compared): less than moving
+the sets, which are larger than the texts.
 
 Defined results: a null or empty text, or one without words, has no shingles and is a component of its own; fewer
 words than the shingle's length are one shingle; rows with the same doc_id count as one document
-(a link of any of its texts is a link of all); long texts are whole; extra columns are left out; an empty table
-gives an empty result.
+(a link of any of its texts is a link of all); rows with a null doc_id link as others do, but give a component no name, so theirs is null if it has no
+other; long texts are whole; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,18 +38,16 @@ from pyspark.sql import functions as F
 from querylode.llm.common import doc_text, drop_settled, release, settle, small_batches, table
 from querylode.llm.shingles import shingle_sets
 
-#: Documents from which an element moves up one level of commonness.
-LEVELS = (6, 64, 1024)
+#: Distinct sets from which an element moves up one level of commonness; below the first it is taken to be alone.
+LEVELS = (2, 6, 64, 1024)
 #: Bits of an element's hash by which it is counted, and bits of each level's bitmap (2**26: 8 MB).
 KEY_BITS, BITMAP_BITS = 36, 26
-#: Rounds with a single centre for each run, before all that is left is compared.
-STAR_ROUNDS = 3
-#: Members that one comparison holds.
-CHUNK = 256
+#: Rounds with a single centre for each run, before the rest of each run is a tree.
+STAR_ROUNDS = 2
+#: Members that one comparison holds, and members of a run that a tree holds.
+CHUNK, RUN_BLOCK = 256, 1024
 #: Elements that a task holds before it sends its counts on.
-HELD = 1 << 22
-#: Cells of the histograms that bound an overlap from above.
-CELLS = 128
+HELD = 1 << 20
 
 
 def set_rows(docs: DataFrame, k: int) -> DataFrame:
@@ -51,14 +55,29 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column("text"), k)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary())], ["doc_id", "n", "sig"]
-            )
+            told = [(len(s), xxhash.xxh3_128_digest(s)) for s in shingle_sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in told], pa.int64()), pa.array([sig for _, sig in told], pa.binary())], ["doc_id", "n", "sig"])
 
     return docs.mapInArrow(run, "doc_id long, n long, sig binary")
 
 
+def id_bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the low bits of each doc_id; the driver gets the bitmap's words only, 2**(bits - 6) at most."""
+    slot = F.col("doc_id").bitwiseAND((1 << bits) - 1)
+    words = ids.where("doc_id IS NOT NULL").groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(doc_id & 63 AS INT))")).alias("mask")).toArrow()
+    bitmap = np.zeros(1 << max(bits - 6, 0), np.uint64)
+    bitmap[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    return bitmap
+
+
+def wanted_rows(batch: pa.RecordBatch, bitmap: np.ndarray, bits: int) -> pa.RecordBatch:
+    """The rows whose doc_id is in the bitmap, or null."""
+    ids = batch.column("doc_id")
+    slots = ids.fill_null(0).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)
+    held = ((bitmap[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1)).astype(bool)
+    return batch.filter(pa.array(held | ids.is_null().to_numpy(zero_copy_only=False)))
+
+
 def packed_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as the bytes of their gaps, lowest bytes first, compressed."""
     gaps = np.diff(keys, prepend=np.uint64(0))
@@ -72,16 +91,17 @@ def unpacked_keys(blob: bytes) -> np.ndarray:
     return np.cumsum(gaps.view(np.uint64).ravel())
 
 
-def common_levels(docs: DataFrame, k: int, levels: tuple[int, ...], bits: int) -> np.ndarray:
-    """For each level a bitmap of the elements that so many documents hold.
+def common_levels(docs: DataFrame, k: int, levels: tuple[int, ...], bits: int, heads) -> np.ndarray:
+    """For each level a bitmap of the elements that so many of the sets in the bitmap heads hold, by the first bits of their hash.
 
-    All elements of all documents are counted, by the first KEY_BITS bits of their hash. Tasks send sorted keys, packed, to the
-    bucket of their range, so each key costs about 2 bytes on the way and a bucket holds as many as any other. The driver gets the
-    bitmaps' words only.
+    All elements are counted, by the first KEY_BITS bits. Tasks send sorted keys, packed, to the
+    bucket of their range, so each key costs about 2 bytes on the way and a bucket holds as many as any other. A bucket's range is
+    a piece of each bitmap, so the driver gets the bitmaps once over.
     """
     spark = docs.sparkSession
-    buckets = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(1 << max(8, int(4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()), 1 << (bits - 6))
     edges = np.array([(i << KEY_BITS) // buckets for i in range(1, buckets)], np.uint64)
+    piece, fold = (1 << bits) // buckets, np.uint64(KEY_BITS - bits)
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,13 +114,13 @@ def common_levels(docs: DataFrame, k: int, levels: tuple[int, ...], bits: int) -
 
         size = 0
         for batch in batches:
-            for found in shingle_sets(batch.column("text"), k):
+            for found in shingle_sets(wanted_rows(batch, heads.value, bits).column("text"), k):
                 if len(found):
                     held.append(found >> np.uint64(64 - KEY_BITS))
                     size += len(found)
-            if size >= HELD:
-                yield packed()
-                held, size = [], 0
+                if size >= HELD:
+                    yield packed()
+                    held, size = [], 0
         if held:
             yield packed()
 
@@ -109,10 +129,14 @@ def common_levels(docs: DataFrame, k: int, levels: tuple[int, ...], bits: int) -
 
         def common() -> pa.RecordBatch:
             keys, times = np.unique(np.concatenate(held), return_counts=True)
-            slots = [(level, keys[times >= least] & np.uint64((1 << bits) - 1)) for level, least in enumerate(levels)]
-            columns = [np.concatenate([np.full(len(x), level, np.int32) for level, x in slots]), np.concatenate([(x >> np.uint64(6)).astype(np.int64) for _, x in slots])]
-            columns.append(np.concatenate([(np.uint64(1) << (x & np.uint64(63))).view(np.int64) for _, x in slots]))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["level", "word", "mask"])
+            rows = []
+            for level, least in enumerate(levels):
+                hit = np.zeros(piece, bool)
+                hit[(keys[times >= least] >> fold).astype(np.int64) - at * piece] = True
+                if hit.any():
+                    rows.append((level, at, zstandard.compress(np.packbits(hit, bitorder="little").tobytes(), 1)))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["level", "bucket", "piece"])
 
         for batch in batches:
             for bucket, keys in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist(), strict=True):
@@ -125,167 +149,225 @@ def common_levels(docs: DataFrame, k: int, levels: tuple[int, ...], bits: int) -
             yield common()
 
     sent = docs.mapInArrow(send, "bucket int, keys binary").repartition("bucket").sortWithinPartitions("bucket")
-    words = sent.mapInArrow(count, "level int, word long, mask long").groupBy("level", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    bitmaps = np.zeros((len(levels), 1 << (bits - 6)), np.uint64)
-    bitmaps[words["level"].to_numpy(), words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
-    return bitmaps
+    pieces = sent.mapInArrow(count, "level int, bucket int, piece binary").toArrow()
+    bitmaps = np.zeros((len(levels), (1 << bits) // 8), np.uint8)
+    for level, bucket, blob in zip(*(c.to_pylist() for c in pieces.columns), strict=True):
+        bitmaps[level, bucket * piece // 8 : (bucket + 1) * piece // 8] = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return bitmaps.view(np.uint64)
 
 
-def globally_ordered(found: np.ndarray, bitmaps: np.ndarray, bits: int) -> np.ndarray:
-    """The set in the global order: by falling level of commonness, and by falling hash within a level."""
-    falling = found[::-1]
-    slot = (falling >> np.uint64(64 - KEY_BITS)) & np.uint64((1 << bits) - 1)
-    level = ((bitmaps[:, slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).sum(axis=0)
-    return falling[np.argsort(-level.astype(np.int8), kind="stable")]
+def commonness(found: np.ndarray, bitmaps: np.ndarray, bits: int) -> np.ndarray:
+    slot = found >> np.uint64(64 - bits)
+    return ((bitmaps[:, slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).sum(axis=0).astype(np.int8)
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
-def rare_rows(docs: DataFrame, k: int, percent: int, bitmap, bits: int) -> DataFrame:
-    """doc_id and the rare elements of every row with words."""
+def rare_rows(docs: DataFrame, k: int, percent: int, bitmaps, bits: int, heads) -> DataFrame:
+    """sig, n, els and places of every row whose doc_id is in the bitmap heads: the rare elements that other sets may hold, the rarest first, and how many elements of the set are rarer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [globally_ordered(s, bitmap.value, bits)[len(s) - prefix_length(len(s), percent) :].view(np.int64) if len(s) else s.view(np.int64) for s in shingle_sets(batch.column("text"), k)]
-            ends = np.cumsum([0, *map(len, sets)])
-            values = pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], ["doc_id", "rare"])
-
-    return docs.mapInArrow(run, "doc_id long, rare array<long>")
-
-
-def id_bitmap(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bit for the low bits of each doc_id; the driver gets the bitmap's words only, 2**(bits - 6) at most."""
-    slot = F.col("doc_id").bitwiseAND((1 << bits) - 1)
-    words = ids.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(doc_id & 63 AS INT))")).alias("mask")).toArrow()
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    bitmap[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
-    return bitmap
-
-
-def ordered_sets(docs: DataFrame, k: int, bitmap, bits: int, wanted) -> DataFrame:
-    """doc_id, the whole ordered set (8 bytes big-endian an element, so that bytes compare as elements do), and its histogram over CELLS cells (a byte each; 255: or more).
-
-    Only of documents in the bitmap of wanted ids, so texts need no exchange; the few others that it lets through do no harm.
-    """
+            sigs, sizes, els, places = [], [], [], []
+            for s in shingle_sets(wanted_rows(batch, heads.value, bits).column("text"), k):
+                if not len(s):
+                    continue
+                level = commonness(s, bitmaps.value, bits)
+                order = np.argsort(level, kind="stable")[: prefix_length(len(s), percent)]
+                place = np.flatnonzero(level[order] > 0)
+                if len(place):
+                    sigs.append(xxhash.xxh3_128_digest(s))
+                    sizes.append(len(s))
+                    els.append(s[order[place]].view(np.int64))
+                    places.append(place.astype(np.int32))
+            if sigs:
+                ends = pa.array(np.cumsum([0, *map(len, els)]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (els, places)]
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), *lists], ["sig", "n", "els", "places"])
+
+    return docs.mapInArrow(run, "sig binary, n long, els array<long>, places array<int>")
+
+
+def whole_sets(docs: DataFrame, k: int, bitmaps, bits: int, wanted) -> DataFrame:
+    """sig and the whole set, common elements first (8 bytes an element), of every row whose doc_id is in the bitmap wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            slots = ids.fill_null(0).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)
-            held = ((wanted.value[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1)).astype(bool)
-            batch = batch.filter(pa.array(held & ids.is_valid().to_numpy(zero_copy_only=False)))
-            if not batch.num_rows:
-                continue
-            sets = shingle_sets(batch.column("text"), k)
-            blobs = [globally_ordered(s, bitmap.value, bits).astype(">u8").tobytes() for s in sets]
-            cells = [np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary()), pa.array(cells, pa.binary())], ["doc_id", "els", "cells"])
+            sets = [s for s in shingle_sets(wanted_rows(batch, wanted.value, bits).column("text"), k) if len(s)]
+            if sets:
+                blobs = [s[np.argsort(-commonness(s, bitmaps.value, bits), kind="stable")].tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(blobs, pa.binary())], ["sig", "els"])
 
-    return docs.mapInArrow(run, "doc_id long, els binary, cells binary")
+    return docs.mapInArrow(run, "sig binary, els binary")
 
 
-def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose histograms leave an overlap that reaches the bound."""
-    cells = sets.select("doc_id", "cells", F.expr("length(els) DIV 8").alias("n"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("a_cells", "b_cells"))
-            least = np.minimum(x, y).astype(np.int64)
-            least[least == 255] = 1 << 40  # both are 255 or more, so any overlap may lie there
-            n = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
-            held = least.sum(axis=1) * (100 + percent) >= percent * n
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(held)), batch.column("b").filter(pa.array(held))], schema=schema)
-
-    both = pairs.join(cells.select(F.col("doc_id").alias("a"), F.col("cells").alias("a_cells"), F.col("n").alias("a_n")), "a").join(cells.select(F.col("doc_id").alias("b"), F.col("cells").alias("b_cells"), F.col("n").alias("b_n")), "b")
-    return both.select("a", "b", "a_cells", "b_cells", "a_n", "b_n").mapInArrow(run, "a long, b long").distinct()
+def least_overlap(n: int, m: int, percent: int) -> int:
+    """The smallest overlap x of sets of n and m elements with 100 * x >= percent * (n + m - x)."""
+    return -(-percent * (n + m) // (100 + percent))
 
 
 class PrefixTree:
-    """Ordered sets as a prefix tree, kept as the sorted sets and the length of the beginning each shares with the one before."""
-
-    def __init__(self, sets: list[tuple[int, bytes]]):
-        self.sets = [(key, np.frombuffer(els, ">u8").astype(np.uint64)) for key, els in sorted(sets, key=lambda x: x[1])]
-        self.shared = [0]
-        for (_, a), (_, b) in zip(self.sets, self.sets[1:], strict=False):
-            m = min(len(a), len(b))
-            differ = np.flatnonzero(a[:m] != b[:m])
-            self.shared.append(int(differ[0]) if len(differ) else m)
-
-    def linked(self, probe: bytes, percent: int) -> list[int]:
+    """Ordered sets as a prefix tree: a node holds the elements its sets have in common after their parent's, what ends there, and the sizes below it."""
+
+    __slots__ = ("els", "ends", "children", "least", "most")
+
+    def __init__(self, sets: list[tuple[object, np.ndarray]], depth: int = 0):
+        """sets: sorted, so that equal beginnings stand together; all agree up to depth."""
+        self.least, self.most = min(len(s) for _, s in sets), max(len(s) for _, s in sets)
+        first, last = sets[0][1], sets[-1][1]
+        m = min(len(first), len(last), self.least)
+        differ = np.flatnonzero(first[depth:m] != last[depth:m])
+        upto = depth + int(differ[0]) if len(differ) else m
+        self.els = first[depth:upto]
+        self.ends = [key for key, s in sets if len(s) == upto]
+        self.children: list[PrefixTree] = []
+        rest = [x for x in sets if len(x[1]) > upto]
+        at = 0
+        for i in range(1, len(rest) + 1):
+            if i == len(rest) or rest[i][1][upto] != rest[at][1][upto]:
+                self.children.append(PrefixTree(rest[at:i], upto))
+                at = i
+
+    @classmethod
+    def of(cls, sets: list[tuple[object, bytes]]) -> PrefixTree:
+        arrays = [(key, np.frombuffer(els, np.uint64)) for key, els in sets]
+        return cls(sorted(arrays, key=lambda x: x[1].astype(">u8").tobytes()))
+
+    def linked(self, probe: bytes, percent: int) -> list:
         """Keys of the sets that reach the bound with the probe."""
-        want = np.sort(np.frombuffer(probe, ">u8").astype(np.uint64))
-        n, found = len(want), []
-        overlap = np.zeros(1, np.int64)  # of the current path, by depth
-        depth, dead = 0, None  # dead: from this depth on nothing can reach the bound
-        for (key, els), shared in zip(self.sets, self.shared, strict=True):
-            depth = min(depth, shared)
-            if dead is not None and shared < dead[0]:
-                dead = None
-            if dead is not None and self._least(n, len(els), percent) - (len(els) - dead[0]) > dead[1]:
-                continue
-            m = len(els)
-            need = self._least(n, m, percent)
-            if min(n, m) < need:
-                continue
-            overlap, dead = overlap[: depth + 1], None
-            while depth < m:
-                step = els[depth : depth + 64]
-                at = np.searchsorted(want, step)
-                at[at == n] = n - 1
-                overlap = np.concatenate([overlap, overlap[-1] + np.cumsum(want[at] == step)])
-                depth += len(step)
-                if overlap[-1] + min(m - depth, n - overlap[-1]) < need:
-                    dead = (depth, int(overlap[-1]))
+        want = np.sort(np.frombuffer(probe, np.uint64))
+        n, found, open_ = len(want), [], [(self, 0, 0)]
+        while open_:
+            node, depth, overlap = open_.pop()
+            if node.most * 100 < percent * n or 100 * n < percent * node.least:
+                continue  # all sets below are too small or too large
+            need = least_overlap(n, max(node.least, -(-percent * n // 100)), percent)
+            at, dead = 0, False
+            while at < len(node.els):  # in steps, so that a long node ends early
+                step = node.els[at : at + 64]
+                where = np.minimum(np.searchsorted(want, step), n - 1)
+                overlap += int((want[where] == step).sum())
+                at += len(step)
+                if overlap + min(node.most - depth - at, n - overlap) < need:
+                    dead = True  # nothing below reaches the bound
                     break
-            if dead is None and overlap[m] >= need:
-                found.append(key)
+            if dead:
+                continue
+            depth += len(node.els)
+            if overlap >= least_overlap(n, depth, percent):
+                found += node.ends
+            open_ += [(child, depth, overlap) for child in node.children]
         return found
 
-    @staticmethod
-    def _least(n: int, m: int, percent: int) -> int:
-        """The smallest overlap x of sets of n and m elements with 100 * x >= percent * (n + m - x)."""
-        return -(-percent * (n + m) // (100 + percent))
-
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked. The members b of a centre a come in chunks of bounded size, each with the centre's set."""
     counts = pairs.groupBy("a").agg(F.count("*").alias("n_pairs")).withColumn("chunks", F.ceil(F.col("n_pairs") / CHUNK).cast("int"))
     keyed = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b")
-    members = keyed.join(sets.select(F.col("doc_id").alias("b"), "els"), "b").select("a", "chunk", F.lit(1).alias("role"), "b", "els")
-    probes = counts.join(sets.select(F.col("doc_id").alias("a"), "els"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("a").alias("b"), "els")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    members = keyed.join(sets.select(F.col("sig").alias("b"), "els"), "b").select("a", "chunk", F.lit(1).alias("role"), "b", "els")
+    probes = counts.join(sets.select(F.col("sig").alias("a"), "els"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("a").alias("b"), "els")
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, probe_sets = None, [], []
+        key, held, probe = None, [], None
 
-        def settled() -> list[tuple[int, int]]:
-            tree = PrefixTree(held)
-            return [(key[0], b) for probe in probe_sets for b in tree.linked(probe, percent)] if held else []
+        def settled() -> list[tuple[bytes, bytes]]:
+            return [(key[0], b) for b in PrefixTree.of(held).linked(probe, percent)] if held and probe else []
 
         for batch in batches:
-            out: list[tuple[int, int]] = []
+            out: list[tuple[bytes, bytes]] = []
             for a, chunk, role, b, els in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (a, chunk) != key or len(held) >= 4 * CHUNK:
+                if (a, chunk) != key or len(held) >= 2 * CHUNK:
                     out += settled()
                     if (a, chunk) != key:
-                        key, probe_sets = (a, chunk), []
+                        key, probe = (a, chunk), None
                     held = []
                 if role:
                     held.append((b, els))
                 else:
-                    probe_sets.append(els)
+                    probe = els
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], schema=schema)
         if out := settled():
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], schema=schema)
 
     dealt = members.unionByName(probes).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+class RunTree:
+    """The rare elements of a run's members as a prefix tree, the rarest first."""
+
+    __slots__ = ("children", "ends", "least", "rest")
+
+    def __init__(self):
+        self.children: dict[int, RunTree] = {}
+        self.ends: list[tuple] = []
+        self.least, self.rest = 1 << 62, 0  # of the sets below: the smallest size, and the most elements that come after this node's
+
+    def add(self, member: tuple) -> None:
+        """member: (sig, n, component, els, places)"""
+        node, n = self, member[1]
+        node.least, node.rest = min(node.least, n), max(node.rest, n)
+        for el, place in zip(member[3], member[4], strict=True):
+            node = node.children.setdefault(el, RunTree())
+            node.least, node.rest = min(node.least, n), max(node.rest, n - place - 1)
+        node.ends.append(member)
+
+    def partners(self, probe: tuple, of: int, percent: int) -> Iterator[bytes]:
+        """The sigs of members, in other components, that may reach the bound with the probe and whose rarest common element is the one that the run is of."""
+        _, n, comp, els, places = probe
+        place = dict(zip(els, places, strict=True))
+        open_ = [(self, 0, n)]
+        while open_:
+            node, overlap, left = open_.pop()
+            for sig, m, other, _, b_places in node.ends:
+                rest = min(left, m - (b_places[-1] + 1 if b_places else 0))
+                if other != comp and 100 * min(n, m) >= percent * max(n, m) and overlap and overlap + rest >= least_overlap(n, m, percent):
+                    yield sig
+            for el, child in node.children.items():
+                at, now = overlap, left
+                if el in place:
+                    if not overlap and el != of:
+                        continue
+                    at, now = overlap + 1, n - place[el] - 1
+                if at + min(child.rest, now) >= least_overlap(n, max(child.least, -(-percent * n // 100)), percent):
+                    open_.append((child, at, now))
+
+
+def tree_pairs(runs: DataFrame, rare: DataFrame, percent: int, block: int) -> DataFrame:
+    """x, y (x < y): pairs of different components in the runs (el, sig, comp) that may reach the bound."""
+    blocks = runs.groupBy("el").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("sig", "el"), F.col("blocks")).cast("int")
+    dealt = runs.select("el", "sig", "comp").join(blocks, "el").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.join(rare.select("sig", "n", "els", "places"), "sig").select("el", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sig", "n", "comp", "els", "places")
+    schema = pa.schema([("x", pa.binary()), ("y", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tree, stored, same = None, RunTree(), [], True
+
+        def record(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], schema=schema)
+
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for el, lo, hi, side, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (el, lo, hi) != key:
+                    key, tree, same = (el, lo, hi), RunTree(), lo == hi
+                # a block by itself: each member meets those before it; two blocks: the second meets the first, which comes first
+                if same or side:
+                    out += [(min(member[0], b), max(member[0], b)) for b in tree.partners(member, el, percent)]
+                if same or not side:
+                    tree.add(member)
+                if len(out) >= 4096:
+                    yield record(out)
+                    out = []
+            if out:
+                yield record(out)
+
+    return dealt.repartition("el", "lo", "hi").sortWithinPartitions("el", "lo", "hi", "side").mapInArrow(run, "x binary, y binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -312,83 +394,86 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, levels: tuple[int, ...] = LEVELS, bits: int = BITMAP_BITS) -> DataFrame:
+def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, levels: tuple[int, ...] = LEVELS, bits: int = BITMAP_BITS, stars: int = STAR_ROUNDS, block: int = RUN_BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set) of every row of documents."""
     if not 50 <= percent <= 100:
         raise ValueError("the bound must lie between 50 and 100 percent")
     spark = documents.sparkSession
-    small_batches(spark, 300)  # the arrays of a batch take some 50 bytes for each of text
+    small_batches(spark, 300)
     docs = doc_text(documents)
     rows = settle(set_rows(docs, k), "sets")
-    classes = settle(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n")), "classes")
-    bitmap = spark.sparkContext.broadcast(common_levels(docs, k, levels, bits))
+    classes = settle(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id")), "classes")
+    heads = spark.sparkContext.broadcast(id_bitmap(classes.select(F.col("class_id").alias("doc_id")), bits))
+    bitmaps = spark.sparkContext.broadcast(common_levels(docs, k, levels, bits, heads))
+    rare = settle(rare_rows(docs, k, percent, bitmaps, bits, heads).dropDuplicates(["sig"]), "rare")
     release(spark)
 
-    heads = classes.select(F.col("class_id").alias("doc_id"), "n")
-    rare = settle(rare_rows(docs, k, percent, bitmap, bits), "rare")
-    placed = rare.join(heads, "doc_id", "left_semi").select("doc_id", F.size("rare").alias("size"), F.posexplode("rare").alias("i", "el"))
-    elements = placed.select("doc_id", "el", (F.col("size") - F.col("i") - 1).alias("place"))  # the rarest comes first
+    elements = rare.select("sig", "n", F.explode(F.arrays_zip("els", "places")).alias("e")).select(F.col("e.els").alias("el"), "sig", "n", F.col("e.places").alias("place"))
     shared = elements.groupBy("el").count().where("count > 1").select("el")
-    runs = settle(elements.join(shared, "el").join(heads, "doc_id").select("el", "doc_id", "n", "place").distinct(), "runs")
-    drop_settled(rare)
-    release(spark)
-
+    runs = settle(elements.join(shared, "el"), "runs")
     # how many of a set's rare elements others have: an original has more such than its altered copies
-    degrees = runs.groupBy("doc_id").agg((F.count("*") / F.first("n")).alias("degree"))
-    runs = settle(runs.join(degrees, "doc_id"), "runs")
-    wanted = spark.sparkContext.broadcast(id_bitmap(runs.select("doc_id"), bits))
-    sets = settle(ordered_sets(docs, k, bitmap, bits, wanted), "ordered")
+    degrees = settle(runs.groupBy("sig").agg((F.count("*") / F.first("n")).alias("degree")), "degrees")
+    runs = settle(runs.join(degrees, "sig").withColumn("comp", F.col("sig")), "runs")
+    wanted = spark.sparkContext.broadcast(id_bitmap(classes.join(degrees, "sig", "left_semi").select(F.col("class_id").alias("doc_id")), bits))
+    sets = settle(whole_sets(docs, k, bitmaps, bits, wanted).dropDuplicates(["sig"]), "whole")
     release(spark)
-    links, tried, labels = None, None, None
-    for stage in range(STAR_ROUNDS + 1):
-        if labels is None:
-            known = runs.withColumn("comp", F.col("doc_id"))
-        else:
-            known = runs.join(labels.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-        known = settle(known, "known")
-        mixed = known.groupBy("el").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("el")
-        open_runs = known.join(mixed, "el")
-        if stage < STAR_ROUNDS:
+
+    repeated = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = settle(rows.join(repeated, "doc_id").select("doc_id", "sig", "n").distinct(), "repeated")
+    links = repeated.where("n > 0").join(repeated.where("n > 0").groupBy("doc_id").agg(F.min("sig").alias("a")), "doc_id").select("a", F.col("sig").alias("b")).where("a <> b")
+    links = settle(links, "found")
+    labels = None if links.isEmpty() else components(links)
+    if labels is not None:
+        runs = relabelled(runs, labels)
+    tried = None
+    for stage in range(stars + 1):
+        if stage < stars:
             # the first centre is the likeliest original; later ones are any members, others in each run
-            order = -F.col("degree") if stage == 0 else F.xxhash64("doc_id", "el", F.lit(stage)).cast("double")
-            centres = open_runs.groupBy("el").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("place").alias("ap"))).alias("c")).select("el", "c.a", "c.an", "c.ac", "c.ap")
-            met = open_runs.select("el", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("place").alias("bp")).join(centres, "el")
+            order = -F.col("degree") if stage == 0 else F.xxhash64("sig", "el", F.lit(stage)).cast("double")
+            centres = runs.groupBy("el").agg(F.min(F.struct(order.alias("o"), F.col("sig").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("place").alias("ap"))).alias("c")).select("el", "c.a", "c.an", "c.ac", "c.ap")
+            met = runs.select("el", F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("place").alias("bp")).join(centres, "el")
+            # before its first common element a pair shares nothing, so no more than what comes from there on
+            met = met.where(f"ac <> bc AND 100 * least(an, bn) >= {percent} * greatest(an, bn) AND {100 + percent} * least(an - ap, bn - bp) >= {percent} * (an + bn)")
+            pairs = met.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a"))
         else:
-            left = open_runs.select("el", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("place").alias("ap"))
-            right = open_runs.select("el", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("place").alias("bp"))
-            met = left.join(right, "el").where("a < b")
-        # before its first common element a pair shares nothing, so no more than what comes from there on
-        met = met.where(f"ac <> bc AND 100 * least(an, bn) >= {percent} * greatest(an, bn) AND {100 + percent} * least(an - ap, bn - bp) >= {percent} * (an + bn)")
-        pairs = met.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a"))
-        pairs = pairs.withColumn("b", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")))
+            pairs = tree_pairs(runs, rare, percent, block).distinct().withColumn("a", F.col("x"))
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = settle(pairs, "pairs")
-        if pairs.isEmpty():
-            # centres may have no likely pair where other members have one
-            if stage == STAR_ROUNDS or mixed.isEmpty():
-                break
-            drop_settled(pairs)
-            drop_settled(known)
-            continue
-        near = settle(possible(pairs.select("a", "b"), sets, percent), "near")
-        fresh = settle(verify(near, sets, percent), "found")
+        pairs = settle(pairs.select("x", "y", "a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")), "pairs")
+        fresh = settle(verify(pairs.select("a", "b"), sets, percent), "found")
         if not fresh.isEmpty():
-            links = fresh if links is None else links.unionByName(fresh)
+            links = links.unionByName(fresh)
             labels = components(links)
+            if stage < stars:
+                runs = relabelled(runs, labels)
         tried = pairs.select("x", "y") if tried is None else tried.unionByName(pairs.select("x", "y"))
-        drop_settled(known)
         release(spark)
 
     # what the comparisons read goes before the result's own exchanges come
-    drop_settled(sets)
-    drop_settled(runs)
+    for done in (sets, runs, rare, degrees):
+        drop_settled(done)
     release(spark)
-    if labels is None:
-        comps = classes.select("sig", "class_id", F.col("class_id").alias("component_id"))
-    else:
-        comps = classes.join(labels.select(F.col("node").alias("class_id"), "comp"), "class_id", "left").select("sig", "class_id", F.coalesce("comp", "class_id").alias("component_id"))
-    return rows.join(comps, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    comps = classes.select("sig", "class_id", F.col("class_id").alias("component_id"))
+    if labels is not None:
+        named = labels.join(classes, labels["node"] == classes["sig"])
+        named = named.join(named.groupBy("comp").agg(F.min("class_id").alias("component_id")), "comp").select("sig", "component_id")
+        comps = classes.join(named, "sig", "left").select("sig", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    out = rows.join(comps, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    if not repeated.where("n = 0").isEmpty():  # a text without words goes where the document's others are
+        of = out.join(repeated.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        out = out.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"), "class_id")
+    return out
+
+
+def relabelled(runs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The runs that hold several components, each member with its own."""
+    known = runs.drop("comp").join(labels.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    known = settle(known, "known")
+    mixed = known.groupBy("el").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("el")
+    out = settle(known.join(mixed, "el"), "open")
+    drop_settled(known)
+    drop_settled(runs)
+    return out
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:

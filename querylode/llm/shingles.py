@@ -7,8 +7,11 @@ of one text or pair of texts share a 64-bit hash with a chance of about 2**-64 f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -95,14 +98,24 @@ def combined(words: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-def shingle_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
+def slices(column: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
+    """Parts of a text column of about so many bytes: the arrays made of a text take some 50 bytes for each of its own, and a batch may hold many long ones."""
+    column = column.cast(pa.binary()).fill_null(b"")
+    ends = np.cumsum(pa.compute.binary_length(column).to_numpy(zero_copy_only=False)) if len(column) else np.zeros(0)
+    at = 0
+    while at < len(column):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield column.slice(at, upto - at)
+        at = upto
+
+
+def shingle_sets(column: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
     """For each row its distinct k-word shingles as sorted hashes: all words as one shingle if they are fewer, none without words."""
-    words, rows = hashed_words(column)
-    runs = combined(words, k)
-    out = []
-    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-        if b - a >= k:
-            out.append(np.unique(runs[a : b - k + 1]))
-        else:
-            out.append(combined(words[a:b], b - a) if b > a else words[:0])
-    return out
+    for part in slices(column):
+        words, rows = hashed_words(part)
+        runs = combined(words, k)
+        for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+            if b - a >= k:
+                yield np.unique(runs[a : b - k + 1])
+            else:
+                yield combined(words[a:b], b - a) if b > a else words[:0]

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from querylode.llm.jaccard_join import PrefixTree, components, jaccard_components, keep_one
+from querylode.llm.jaccard_join import PrefixTree, RunTree, components, jaccard_components, keep_one, prefix_length
 
 
 def brute(rows, k=5, percent=80):
@@ -84,13 +85,47 @@ def test_tree_prunes_nothing_that_links():
     for key in range(200):
         size = rng.randrange(1, 200)
         sets.append((key, sorted(rng.sample(range(260), size))))
-    blob = lambda s: b"".join(x.to_bytes(8, "big") for x in s)
-    tree = PrefixTree([(k, blob(s)) for k, s in sets])
+    sets += [(1000 + k, s) for k, s in sets[:20]] + [(2000 + k, s[: len(s) // 2 + 1]) for k, s in sets[:20]]
+    blob = lambda s: np.array(s, np.uint64).tobytes()
+    tree = PrefixTree.of([(k, blob(s)) for k, s in sets])
     for _, probe in sets[::7]:
         want = {k for k, s in sets if 100 * len(set(s) & set(probe)) >= 60 * len(set(s) | set(probe))}
         assert set(tree.linked(blob(probe), 60)) == want
 
 
+def test_run_tree_finds_each_pair_in_one_run():
+    rng = random.Random(4)
+    members = []
+    for key in range(150):  # sets of 0.., ordered by their elements; the rarest first
+        whole = sorted({*rng.sample(range(60), rng.randrange(8, 30)), *range(40, 55)})
+        rare = whole[: prefix_length(len(whole), 60)]
+        members.append((key, len(whole), key, rare, list(range(len(rare))), set(whole)))
+    found = []
+    for el in range(60):
+        tree = RunTree()
+        for m in members:
+            if el in m[3]:
+                found += [(b, m[0]) for b in tree.partners(m[:5], el, 60)]
+                tree.add(m[:5])
+    assert len(found) == len(set(found))
+    want = {(a[0], b[0]) for i, b in enumerate(members) for a in members[:i] if 100 * len(a[5] & b[5]) >= 60 * len(a[5] | b[5])}
+    assert want <= set(found)
+
+
+@pytest.mark.parametrize("stars, block", [(0, 4), (1, 1024)])
+def test_trees_alone_find_all_links(spark, stars, block):
+    rows = near_copies(7, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_components(docs, levels=(2, 9), bits=12, stars=stars, block=block).collect()} == brute(rows)[0]
+
+
+def test_repeated_ids_are_one_document(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(12))
+    rows = [(3, text("a")), (5, text("a")), (5, text("b")), (7, text("b")), (7, ""), (8, None), (9, text("z"))]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), levels=(3, 9), bits=12).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (7, 3), (8, 8), (9, 9)]
+
+
 def test_members_link_where_no_centre_does(spark):
     words = [f"word{i}" for i in range(13)]
     rows = [(1, " ".join([*words, "last"])), (2, " ".join([*words, "other"]))]
