@@ -161,12 +161,17 @@ def commonness(found: np.ndarray, bitmaps: np.ndarray, bits: int) -> np.ndarray:
     return ((bitmaps[:, slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).sum(axis=0).astype(np.int8)
 
 
+def ranked(els: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Elements as numbers that rise as the global order does; the last bits of their hashes go, which can only make two of them one."""
+    return ((level.astype(np.uint64) << np.uint64(59)) | (els >> np.uint64(5))).view(np.int64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
 def rare_rows(docs: DataFrame, k: int, percent: int, bitmaps, bits: int, heads) -> DataFrame:
-    """sig, n, els and places of every row whose doc_id is in the bitmap heads: the rare elements that other sets may hold, the rarest first, and how many elements of the set are rarer."""
+    """sig, n, els and places of every row whose doc_id is in the bitmap heads: the rare elements that other sets may hold, the rarest first, as numbers that rise, and how many elements of the set are rarer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +185,7 @@ def rare_rows(docs: DataFrame, k: int, percent: int, bitmaps, bits: int, heads)
                 if len(place):
                     sigs.append(xxhash.xxh3_128_digest(s))
                     sizes.append(len(s))
-                    els.append(s[order[place]].view(np.int64))
+                    els.append(ranked(s[order[place]], level[order[place]]))
                     places.append(place.astype(np.int32))
             if sigs:
                 ends = pa.array(np.cumsum([0, *map(len, els)]).astype(np.int32))
@@ -320,21 +325,24 @@ class RunTree:
         """The sigs of members, in other components, that may reach the bound with the probe and whose rarest common element is the one that the run is of."""
         _, n, comp, els, places = probe
         place = dict(zip(els, places, strict=True))
-        open_ = [(self, 0, n)]
+        last = els[-1]  # what comes later may be in the probe, too, beyond its rare elements, so it is no loss from there on
+        open_ = [(self, 0, n, -1)]
         while open_:
-            node, overlap, left = open_.pop()
-            for sig, m, other, _, b_places in node.ends:
-                rest = min(left, m - (b_places[-1] + 1 if b_places else 0))
-                if other != comp and 100 * min(n, m) >= percent * max(n, m) and overlap and overlap + rest >= least_overlap(n, m, percent):
+            node, overlap, left, frozen = open_.pop()
+            for sig, m, other, _, b_places in node.ends if overlap else ():
+                rest = min(left, m - b_places[-1] - 1 if frozen < 0 else frozen)
+                if other != comp and 100 * min(n, m) >= percent * max(n, m) and overlap + rest >= least_overlap(n, m, percent):
                     yield sig
             for el, child in node.children.items():
-                at, now = overlap, left
-                if el in place:
+                at, now, rest = overlap, left, child.rest
+                if el > last:
+                    rest = node.rest if frozen < 0 else frozen
+                elif el in place:
                     if not overlap and el != of:
                         continue
                     at, now = overlap + 1, n - place[el] - 1
-                if at + min(child.rest, now) >= least_overlap(n, max(child.least, -(-percent * n // 100)), percent):
-                    open_.append((child, at, now))
+                if (at or el < of) and at + min(rest, now) >= least_overlap(n, max(child.least, -(-percent * n // 100)), percent):
+                    open_.append((child, at, now, rest if el > last else -1))
 
 
 def tree_pairs(runs: DataFrame, rare: DataFrame, percent: int, block: int) -> DataFrame:
