@@ -4,10 +4,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from querylode.llm import ppm_score
-from querylode.llm.ppm_score import ORDER, score
+from querylode.llm.ppm_score import ORDER, code_rows, score
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -20,32 +20,29 @@ def rows():
     rng = random.Random(8)
     parts = "th on er ing tion é ß".split()
     out = [(i, " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(rng.choice([0, 1, 9, 80]))).title()) for i in range(80)]
-    return out + [(500, None), (501, ""), (502, "zz top 日本"), (502, "zz top 日本"), (503, "w" * 3000), (504, "the " * 20000)]
+    return out + [(500, None), (501, ""), (502, "zz top 日本"), (502, "zz top 日本"), (503, "w" * 3000), (504, "the " * 20000), (None, "never\n\tseen  before")]
 
 
 def brute(data):
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in data}
-    counts = Counter()
-    for i, t in data:
-        if not held[i]:
-            counts.update([*WORD.findall(lower(t)), None])
+    """Counts and codes of whole byte streams, byte by byte."""
+    held = [i is None or zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in data]
+    words = [[*WORD.findall(lower(t)), None] for _, t in data]
+    streams = [b"\n" * ORDER + " ".join(w[:-1]).encode() + b"\n" for w in words]
+    counts, follow = Counter(), {}
+    for h, tokens, s in zip(held, words, streams, strict=True):
+        if not h:
+            counts.update(tokens)
+            for at in range(ORDER, len(s)):
+                for k in range(ORDER + 1):
+                    follow.setdefault(s[at - k : at], Counter())[s[at]] += 1
     n, v = sum(counts.values()), len(counts)
-    follow = {}
-
-    def bytes_of(token):
-        return b"\n" if token is None else token.encode() + b" "
-
-    for token, c in counts.items():
-        past = b" "
-        for x in bytes_of(token):
-            for k in range(min(ORDER, len(past)) + 1):
-                follow.setdefault(past[len(past) - k :], Counter())[x] += c
-            past += bytes([x])
+    memo = {}
 
-    def code(past, x):
+    def code(gram):
+        past, x = gram[:-1], gram[-1]
         mass, excluded = 0.0, set()
-        for k in range(min(ORDER, len(past)), -1, -1):
-            f = {b: c for b, c in follow.get(past[len(past) - k :], {}).items() if b not in excluded}
+        for k in range(ORDER, -1, -1):
+            f = {b: c for b, c in follow.get(past[ORDER - k :], {}).items() if b not in excluded}
             if not f:
                 continue
             total = sum(f.values())
@@ -55,42 +52,59 @@ def brute(data):
             excluded |= set(f)
         return mass - math.log10(256 - len(excluded))
 
-    memo = {}
-
-    def ppm(token):
-        if token not in memo:
-            past, total = b" ", 0.0
-            for x in bytes_of(token):
-                total += code(past, x)
-                past += bytes([x])
-            memo[token] = total
-        return memo[token]
+    def ppm(s):
+        total = 0.0
+        for at in range(ORDER, len(s)):
+            gram = s[at - ORDER : at + 1]
+            if gram not in memo:
+                memo[gram] = code(gram)
+            total += memo[gram]
+        return total
 
     out = []
-    for i, t in data:
-        tokens = [*WORD.findall(lower(t)), None]
-        out.append((i, held[i], len(tokens), sum(counts[x] > 0 for x in tokens), n, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in tokens), sum(map(ppm, tokens))))
-    return sorted(out)
+    for (i, _), h, tokens, s in zip(data, held, words, streams, strict=True):
+        out.append((i, h, len(tokens), sum(counts[x] > 0 for x in tokens), n, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in tokens), ppm(s)))
+    return out
+
 
+def by_id(rows):
+    return sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, *r))
 
-@pytest.mark.parametrize("limit", [ppm_score.BROADCAST, 10])
-def test_equals_brute_force(spark, limit):
+
+@pytest.mark.parametrize("block, page", [(3000, 700), (1 << 24, 1 << 20)])
+def test_equals_brute_force(spark, block, page):
     data = rows()
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in data], "doc_id long, text string, score double").repartition(3)
-    got = sorted(tuple(r) for r in score(docs, block=3000, limit=limit).collect())
-    want = brute(data)
+    got, want = by_id(score(docs, block=block, page=page).collect()), by_id(brute(data))
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want, strict=True):
         assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
 
 
-def test_probabilities_of_a_context_sum_to_one(spark):
-    context, short = ppm_score.Context(), ppm_score.Context()
-    for b, n in ((97, 5), (98, 1)):
-        context.add(b, n)
-    for b, n in ((97, 7), (99, 2), (32, 1)):
-        short.add(b, n)
-    assert sum(10**x for x in ppm_score.code_lengths([context, None, short], list(range(256)))) == pytest.approx(1)
+def test_words_out_of_order_score_lower(spark):
+    rng = random.Random(5)
+    phrases = ["the old road turned north", "we could see a small house", "smoke still rose from its chimney", "people from town liked to tell"]
+    data = [(i, " ".join(rng.choice(phrases) for _ in range(20))) for i in range(60)]
+    plain = " ".join(phrases * 3)
+    mixed = plain.split()
+    rng.shuffle(mixed)
+    held = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    got = {r.doc_id: r for r in score(spark.createDataFrame([*data, (held[0], plain), (held[1], " ".join(mixed))], "doc_id long, text string")).collect()}
+    a, b = got[held[0]], got[held[1]]
+    assert a.base_score == pytest.approx(b.base_score) and a.score > 0.7 * b.score
+
+
+def test_probabilities_of_a_context_sum_to_one():
+    rng = np.random.default_rng(2)
+    orders = [rng.integers(0, 4, (6, 256)) * (rng.random((6, 256)) < share) for share in (0.01, 0.0, 0.1, 0.5, 0.7)]
+    orders[0][3] = 0
+    assert np.power(10.0, code_rows(orders)).sum(axis=1) == pytest.approx(np.ones(6))
+    assert np.power(10.0, code_rows([np.zeros((1, 256))] * 5)).sum() == pytest.approx(1)
+
+
+def test_no_training_documents(spark):
+    got = score(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, round(r.score, 9)) for r in got) == [(1, 0, 0, 0.0, round(-math.log10(256), 9)), (3, 0, 0, 0.0, round(-4 * math.log10(256), 9))]
 
 
 def test_empty_table(spark):
