@@ -7,7 +7,8 @@ those meet. How common an element is, by a few levels, is kept in bitmaps of fix
 are in one set only and meet nothing. What the bitmaps confuse only moves an element in the order, which is the same for
 all sets, or lets a lone element through, so no link is lost; at sizes where they fill up the order becomes that of hashes.
 
-Equal sets are one node, named by the 128-bit hash of the set. Nodes that share a rare element form a run.
+Equal sets are one node, named by the 128-bit hash of the set. Nodes that share a rare element form a run; of runs with the same nodes one stays, that of
+the rarest element.
 1. Star rounds: each run's members meet one centre of it; the links found are merged into components, and only runs that
    hold several components go on. So a large group of near copies costs a few comparisons a member, not all its pairs.
 2. Tree round: each run left is stored as a prefix tree of its members' rare elements and walked with each member. Sets with a
@@ -45,7 +46,7 @@ KEY_BITS, BITMAP_BITS = 36, 26
 #: Rounds with a single centre for each run, before the rest of each run is a tree.
 STAR_ROUNDS = 2
 #: Members that one comparison holds, and members of a run that a tree holds.
-CHUNK, RUN_BLOCK = 256, 1024
+CHUNK, RUN_BLOCK = 256, 512
 #: Elements that a task holds before it sends its counts on.
 HELD = 1 << 20
 
@@ -208,6 +209,17 @@ def whole_sets(docs: DataFrame, k: int, bitmaps, bits: int, wanted) -> DataFrame
     return docs.mapInArrow(run, "sig binary, els binary")
 
 
+def distinct_runs(elements: DataFrame) -> DataFrame:
+    """el: the rarest element of each distinct group of sets that share one (sets are told apart by two sums of hashes).
+
+    A pair's rarest common element is also the rarest that all sets which share it have in common, so no pair's run goes. Near copies share dozens of elements, and
+    mostly as the same group.
+    """
+    sums = [F.sum(F.xxhash64("sig", F.lit(1)).bitwiseAND((1 << 40) - 1)).alias("h1"), F.bit_xor(F.xxhash64("sig")).alias("h2")]
+    groups = elements.groupBy("el").agg(F.count("*").alias("members"), *sums).where("members > 1")
+    return groups.groupBy("members", "h1", "h2").agg(F.min("el").alias("el")).select("el")
+
+
 def least_overlap(n: int, m: int, percent: int) -> int:
     """The smallest overlap x of sets of n and m elements with 100 * x >= percent * (n + m - x)."""
     return -(-percent * (n + m) // (100 + percent))
@@ -417,8 +429,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, leve
     release(spark)
 
     elements = rare.select("sig", "n", F.explode(F.arrays_zip("els", "places")).alias("e")).select(F.col("e.els").alias("el"), "sig", "n", F.col("e.places").alias("place"))
-    shared = elements.groupBy("el").count().where("count > 1").select("el")
-    runs = settle(elements.join(shared, "el"), "runs")
+    runs = settle(elements.join(distinct_runs(elements), "el"), "runs")
     # how many of a set's rare elements others have: an original has more such than its altered copies
     degrees = settle(runs.groupBy("sig").agg((F.count("*") / F.first("n")).alias("degree")), "degrees")
     runs = settle(runs.join(degrees, "sig").withColumn("comp", F.col("sig")), "runs")
