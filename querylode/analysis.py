@@ -27,6 +27,14 @@ class Analysis:
     skipped: DataFrame
     notes: DataFrame
     options: Options
+    errors: list[tuple[str, str]]
+
+    def release(self) -> None:
+        """Frees what reports read again and again."""
+        for df in self._held:
+            df.unpersist()
+
+    _held: tuple[DataFrame, ...] = ()
 
 
 def input_kind(source: str) -> str:
@@ -58,10 +66,16 @@ def analyse(records: DataFrame, catalog: DataFrame | None = None, options: Optio
     """Runs the rules. Custom rules come as functions of buckets; `polish` may add columns to findings, but what it does to others is undone."""
     spark = records.sparkSession
     known = catalog if catalog is not None else catalogs.no_catalog(spark)
-    read = statements(records)
-    found = after.finished(run_rules(buckets(read, known), options, catalog is not None, custom)).persist()  # reports read it again and again
+    errors: list[tuple[str, str]] = []
+    read = statements(records).persist()
+    # as few rows as there are patterns; what follows reads them many times, and a plan with seven rules in each place would cost more than its rows
+    raw = run_rules(buckets(read, known), options, catalog is not None, custom, errors).persist()
+    found = after.finished(raw).persist()
     if polish:
-        added = polish(found)
-        keys = ["rule", *[c for c in after.ORDER if c != "rule"]]
-        found = found.join(added.select(*keys, *[c for c in added.columns if c not in found.columns]), keys, "left").orderBy(*after.ranking())
-    return Analysis(found, read, after.skipped(read, options, catalog is not None), after.notes(read), options)
+        try:
+            added = polish(found)
+            keys = ["rule", *[c for c in after.ORDER if c != "rule"]]
+            found = found.join(added.select(*keys, *[c for c in added.columns if c not in found.columns]), keys, "left").orderBy(*after.ranking())
+        except Exception as error:
+            errors.append(("polish", f"{type(error).__name__}: {error}"))
+    return Analysis(found, read, after.skipped(read, options, catalog is not None), after.notes(read), options, errors, (found, raw, read))

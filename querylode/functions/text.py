@@ -52,8 +52,18 @@ def one_line(sql: Column | str) -> Column:
 
 
 def clipped(text: Column | str, most: int = 200) -> Column:
-    text = _column(text)
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
+    """At most so many characters, the last an ellipsis where more were there. One expression, so the text is computed once."""
+    return F.regexp_replace(_column(text), rf"(?s)^(.{{{most - 1}}}).{{2,}}$", "$1…")
+
+
+def replaced_once(sql: Column, part: Column, by: Column) -> Column:
+    """The statement with the first whole occurrence of a part replaced, blanks of any length being equal. One that begins or ends inside a name or a number is none; without any the replacement stands alone."""
+    quoted_part = F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    quoted_part = F.regexp_replace(quoted_part, r"\s+", r"\\E\\s+\\Q")
+    edge = r"[\w.$]"
+    pattern = F.concat(F.lit(rf"(?s)^(.*?)(?:(?<!{edge})|(?!\w))\Q"), quoted_part, F.lit(rf"\E(?:(?!{edge})|(?<!\w))(.*)$"))
+    piece = lambda i: F.call_function("regexp_extract", sql, pattern, F.lit(i))
+    return F.when(piece(0) != "", F.concat(piece(1), by, piece(2))).otherwise(by)
 
 
 def evidence(sql: Column | str, most: int = 200) -> Column:

@@ -28,24 +28,32 @@ def ranking() -> list:
     return [severity_rank("severity").desc(), F.desc("payoff"), F.col("rule"), *[F.col(c) for c in ORDER if c != "rule"]]
 
 
+def _rank_keys() -> list:
+    """ranking() as values of which the least is the best."""
+    return [(-severity_rank("severity")).alias("_severity"), (-F.col("payoff")).alias("_payoff"), F.col("rule"), *[F.col(c) for c in ORDER if c != "rule"]]
+
+
 def without_redundant(findings: DataFrame) -> DataFrame:
     """Of indexes with the same columns in another order the best ranked stays; one that begins another's columns goes, and the longest survivor says what it covers."""
+    none = F.array().cast("array<string>")
     indexed = findings.where(F.size("index_columns") > 0)
-    others = findings.where("index_columns IS NULL OR size(index_columns) = 0").withColumn("covered", F.array().cast("array<string>"))
+    others = findings.where("index_columns IS NULL OR size(index_columns) = 0").withColumn("covered", none)
     partial = F.exists("ddl", lambda d: d.rlike(r"\(\s*`?\w+`?\s*\(\s*\d+\s*\)\s*\)"))
     indexed = indexed.withColumn("_partial", partial).withColumn("_set", F.when(F.col("_partial"), F.concat_ws("\n", "ddl", "fingerprint")).otherwise(F.array_join(F.array_sort("index_columns"), ",")))
-    of_set = Window.partitionBy("table", "_set").orderBy(*ranking())
-    placed = indexed.withColumn("_n", F.row_number().over(of_set)).withColumn("_all", F.collect_list("fingerprint").over(Window.partitionBy("table", "_set")))
-    kept = placed.where("_n = 1").withColumn("_id", F.struct("table", "_set"))
-    wide = kept.where(~F.col("_partial")).select(F.col("table").alias("wide_table"), F.col("_set").alias("wide_set"), F.col("index_columns").alias("wide_columns"))
-    begins = (F.col("table") == F.col("wide_table")) & (F.size("index_columns") < F.size("wide_columns")) & (F.slice("wide_columns", 1, F.size("index_columns")) == F.col("index_columns"))
-    served = kept.join(wide, begins).select("table", "_set", "wide_set", "_all", F.size("wide_columns").alias("_width"))
-    longest = first_by(served, ["table", "_set"], F.desc("_width"), F.col("wide_set"))
-    absorbed = longest.select("table", F.col("wide_set").alias("_set"), F.explode("_all").alias("covers")).groupBy("table", "_set").agg(F.collect_set("covers").alias("_covers"))
-    stay = kept.join(longest.select("table", "_set"), ["table", "_set"], "left_anti").join(absorbed, ["table", "_set"], "left")
-    covered = F.array_sort(F.array_remove(F.array_union("_all", F.coalesce("_covers", F.array().cast("array<string>"))), F.col("fingerprint")))
-    stay = stay.withColumn("covered", covered).select(*findings.columns, "covered")
-    return stay.unionByName(others)
+    # one row for each table and set of columns: the best ranked finding, and whose fingerprints it stands for
+    best = F.min_by(F.struct(*findings.columns, "_partial"), F.struct(*_rank_keys()))
+    sets = indexed.groupBy("table", "_set").agg(best.alias("_best"), F.collect_set("fingerprint").alias("_all"))
+    kept = sets.select("_set", "_all", "_best.*")
+    # each beginning of each index, so beginnings are found by an equal join and not among all indexes of a table
+    longer = F.explode(F.sequence(F.lit(1), F.size("index_columns") - 1))
+    wide = kept.where(~F.col("_partial") & (F.size("index_columns") > 1)).select("table", F.col("_set").alias("wide_set"), F.size("index_columns").alias("_width"), longer.alias("_n"), "index_columns")
+    wide = wide.select("table", "wide_set", "_width", F.slice("index_columns", 1, F.col("_n")).alias("index_columns"))
+    longest = wide.groupBy("table", "index_columns").agg(F.min_by("wide_set", F.struct(-F.col("_width"), F.col("wide_set"))).alias("wide_set"))
+    gone = kept.join(longest, ["table", "index_columns"]).select("table", "_set", "wide_set", "_all")
+    absorbed = gone.select("table", F.col("wide_set").alias("_set"), F.explode("_all").alias("covers")).groupBy("table", "_set").agg(F.collect_set("covers").alias("_covers"))
+    stay = kept.join(gone.select("table", "_set"), ["table", "_set"], "left_anti").join(absorbed, ["table", "_set"], "left")
+    covered = F.array_sort(F.array_remove(F.array_union("_all", F.coalesce("_covers", none)), F.col("fingerprint")))
+    return stay.withColumn("covered", covered).select(*findings.columns, "covered").unionByName(others)
 
 
 def finished(findings: DataFrame) -> DataFrame:

@@ -228,7 +228,7 @@ def implicit_conversion(b: DataFrame, o: Options) -> DataFrame:
     one = F.when((F.col("w.op") == "=") & T.numeric_literal("w.value_text").isNotNull(), F.concat(F.col("w.raw"), _lit(" = "), quote(F.col("w.value_text"))))
     many = F.when((F.col("w.op") == "in") & (F.size(items) == F.size(F.split(bare, ","))) & F.exists(items, lambda x: T.numeric_literal(x).isNotNull()), F.concat(F.col("w.raw"), _lit(" IN ("), F.array_join(F.transform(items, quote), ", "), _lit(")")))
     b = b.withColumn("form", F.coalesce(one, many)).where(F.col("form").isNotNull())
-    whole = F.when(F.col("parsed.full_sql").contains(F.col("w.predicate_text")), F.replace("parsed.full_sql", F.col("w.predicate_text"), F.col("form"))).otherwise(F.col("form"))
+    whole = T.replaced_once(F.col("parsed.full_sql"), F.col("w.predicate_text"), F.col("form"))
     message = F.concat(F.col("cat.name"), _lit("."), F.col("c.name"), _lit(" is "), F.col("c.type"), _lit(" but "), F.col("w.predicate_text"), _lit(" compares it with a number, so MySQL converts the column and no index on it is used. Quote the literal: "), F.col("form"))
     return finding(b, "SIA005", "error", message, rewrite=whole, table=F.col("cat.name"), part=F.col("w.i"))
 
@@ -320,9 +320,24 @@ def severity_rank(severity: Column | str) -> Column:
     return F.when(severity == "error", 2).when(severity == "warn", 1).otherwise(0)
 
 
-def run_rules(b: DataFrame, options: Options, has_schema: bool, custom: tuple[Rule, ...] = ()) -> DataFrame:
-    """Findings of all chosen rules that have what they need, from min_severity up."""
-    rules = [r for r in (*chosen(options), *custom) if has_schema or not r.needs_schema]
+def run_rules(b: DataFrame, options: Options, has_schema: bool, custom: tuple[Rule, ...] = (), errors: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Findings of all chosen rules that have what they need, from min_severity up.
+
+    With a list for errors, a rule that fails is named there and the others go on. A custom rule's rows are computed to know; the seven fail with the plan or not at all.
+    """
     b = b.persist()  # every rule reads it, and it is as small as the catalog and the distinct patterns are
-    found = reduce(DataFrame.unionByName, [r.run(b, options) for r in rules])
-    return found.where(severity_rank("severity") >= SEVERITIES[options.min_severity])
+    found = [finding(b.limit(0), "", "", F.lit(""))]
+    for rule in (*chosen(options), *custom):
+        if rule.needs_schema and not has_schema:
+            continue
+        try:
+            made = rule.run(b, options).select(*found[0].columns)
+            if rule in custom and errors is not None:
+                made = made.persist()
+                made.count()
+            found.append(made)
+        except Exception as error:
+            if errors is None:
+                raise
+            errors.append((rule.id, f"{type(error).__name__}: {str(error).splitlines()[0][:300] if str(error) else ''}"))
+    return reduce(DataFrame.unionByName, found).where(severity_rank("severity") >= SEVERITIES[options.min_severity])

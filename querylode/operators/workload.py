@@ -17,11 +17,12 @@ def patterns(events: DataFrame) -> DataFrame:
     """
     first = F.struct("file", "event_ord")
     worst = F.max_by(F.struct(*COST), F.struct(F.coalesce("query_time", F.lit(-1)), -F.col("event_ord")))
-    grouped = events.where("sql IS NOT NULL AND NOT coalesce(ignored, false)").withColumn("fingerprint", fingerprint("sql")).where("fingerprint <> ''").groupBy("fingerprint")
+    grouped = events.where("sql IS NOT NULL AND NOT coalesce(ignored, false)").groupBy(fingerprint("sql").alias("fingerprint"))
     found = grouped.agg(
         F.count("*").alias("occurrences"), F.sum("query_time").alias("total_query_time"), F.max("rows_examined").alias("max_rows_examined"),
         F.min_by(F.struct("sql", "file", "line", "event_ord"), first).alias("first"), worst.alias("worst"),
     )
+    found = found.where("fingerprint <> ''")  # after the aggregate: before it the whole chain of expressions would run twice a row
     return found.select("fingerprint", "occurrences", "total_query_time", "max_rows_examined", "first.sql", "first.file", "first.line", F.col("first.event_ord").alias("record_ord"), *[F.col(f"worst.{c}").alias(c) for c in COST])
 
 

@@ -38,7 +38,8 @@ def catalog_from_json(spark: SparkSession, text: str) -> DataFrame:
         raise CatalogError("; ".join(wrong))
     columns = F.transform("t.columns", lambda c: F.struct(F.lower(c["name"]).alias("name"), F.lower(c["type"]).alias("type"), c["length"].alias("length"), c["nullable"].alias("nullable"), c["charset"].alias("charset")))
     indexes = F.transform("t.indexes", lambda x: F.struct(x["name"].alias("name"), F.transform(x["columns"], F.lower).alias("columns"), F.coalesce(x["unique"], F.lit(False)).alias("unique"), F.coalesce(x["primary"], F.lit(False)).alias("primary"), x["subParts"].alias("sub_parts")))
-    return tables.select(F.lower("t.name").alias("name"), F.coalesce("t.charset", F.lit("utf8mb4")).alias("charset"), F.col("t.rowCountEstimate").alias("row_estimate"), columns.alias("columns"), indexes.alias("indexes"))
+    known = tables.select(F.lower("t.name").alias("name"), F.coalesce("t.charset", F.lit("utf8mb4")).alias("charset"), F.col("t.rowCountEstimate").alias("row_estimate"), columns.alias("columns"), indexes.alias("indexes"))
+    return spark.createDataFrame(known.collect(), CATALOG)  # rows instead of the whole text in every plan
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
