@@ -47,6 +47,8 @@ KEY_BITS, BITMAP_BITS = 36, 26
 STAR_ROUNDS = 2
 #: Members that one comparison holds, and members of a run that a tree holds.
 CHUNK, RUN_BLOCK = 256, 512
+#: Links that one file of the components' tables holds.
+LINKS_A_FILE = 100_000
 #: Elements that a task holds before it sends its counts on.
 HELD = 1 << 20
 
@@ -394,26 +396,46 @@ def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node it is connected with) of every node of links (a, b).
 
     Each round hangs a node's neighbours and its own label on the smallest of them and then follows one label further; the
-    forest gets shallower by about half each round. Rounds are written out, so none is computed twice.
+    forest gets shallower by about half each round. Rounds are written out, so none is computed twice, in as many files as the links need: few links
+    make small tables, which Spark then broadcasts by their size instead of exchanging both sides.
     """
-    both = settle(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "links")
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "labels")
+    found = settle(links.select("a", "b").where("a <> b"), "links")
+    files = min(found.count() // LINKS_A_FILE + 1, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = settle(found.union(found.select(F.col("b"), F.col("a"))).distinct().coalesce(files), "links")
+    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")).coalesce(files), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        pulled = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        pulled = settle(labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")).coalesce(files), "labels")
         # the old label's node learns of the smaller one too
         told = pulled.groupBy(F.col("old").alias("node")).agg(F.min("comp").alias("told"))
-        lower = settle(pulled.join(told, "node", "left").select("node", "old", F.least("comp", F.coalesce("told", "comp")).alias("comp")), "labels")
+        lower = settle(pulled.join(told, "node", "left").select("node", "old", F.least("comp", F.coalesce("told", "comp")).alias("comp")).coalesce(files), "labels")
         jumped = lower.join(lower.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("node", "old", F.least("comp", F.coalesce("next", "comp")).alias("comp"))
-        after = settle(jumped, "labels")
-        drop_settled(labels)
-        drop_settled(lower)
+        after = settle(jumped.coalesce(files), "labels")
+        for done in (labels, pulled, lower):
+            drop_settled(done)
         labels = after.select("node", "comp")
         if after.where("old <> comp").isEmpty():
             drop_settled(both)
+            drop_settled(found)
             return labels
 
 
+def joined(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """Labels after more links: only links between different components, as links of their names, are followed."""
+    if labels is None:
+        return components(fresh)
+    ends = fresh.select(F.col("a").alias("node")).union(fresh.select("b")).distinct()
+    every = labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("comp", F.col("node")))
+    every = settle(every, "every")
+    name = lambda side: every.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp"))
+    between = fresh.join(name("a"), "a").join(name("b"), "b").where("a_comp <> b_comp").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct()
+    between = settle(between, "between")
+    if between.isEmpty():
+        return every
+    names = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("name"))
+    return settle(every.join(names, "comp", "left").select("node", F.coalesce("name", "comp").alias("comp")), "labels")
+
+
 def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, levels: tuple[int, ...] = LEVELS, bits: int = BITMAP_BITS, stars: int = STAR_ROUNDS, block: int = RUN_BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set) of every row of documents."""
     if not 50 <= percent <= 100:
@@ -431,9 +453,9 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, leve
     elements = rare.select("sig", "n", F.explode(F.arrays_zip("els", "places")).alias("e")).select(F.col("e.els").alias("el"), "sig", "n", F.col("e.places").alias("place"))
     runs = settle(elements.join(distinct_runs(elements), "el"), "runs")
     # how many of a set's rare elements others have: an original has more such than its altered copies
-    degrees = settle(runs.groupBy("sig").agg((F.count("*") / F.first("n")).alias("degree")), "degrees")
+    degrees = runs.groupBy("sig").agg((F.count("*") / F.first("n")).alias("degree"))
     runs = settle(runs.join(degrees, "sig").withColumn("comp", F.col("sig")), "runs")
-    wanted = spark.sparkContext.broadcast(id_bitmap(classes.join(degrees, "sig", "left_semi").select(F.col("class_id").alias("doc_id")), bits))
+    wanted = spark.sparkContext.broadcast(id_bitmap(classes.join(runs, "sig", "left_semi").select(F.col("class_id").alias("doc_id")), bits))
     sets = settle(whole_sets(docs, k, bitmaps, bits, wanted).dropDuplicates(["sig"]), "whole")
     release(spark)
 
@@ -441,7 +463,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, leve
     repeated = settle(rows.join(repeated, "doc_id").select("doc_id", "sig", "n").distinct(), "repeated")
     links = repeated.where("n > 0").join(repeated.where("n > 0").groupBy("doc_id").agg(F.min("sig").alias("a")), "doc_id").select("a", F.col("sig").alias("b")).where("a <> b")
     links = settle(links, "found")
-    labels = None if links.isEmpty() else components(links)
+    labels = None if links.isEmpty() else joined(None, links)
     if labels is not None:
         runs = relabelled(runs, labels)
     tried = None
@@ -461,15 +483,14 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, leve
         pairs = settle(pairs.select("x", "y", "a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")), "pairs")
         fresh = settle(verify(pairs.select("a", "b"), sets, percent), "found")
         if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            labels = components(links)
+            labels = joined(labels, fresh)
             if stage < stars:
                 runs = relabelled(runs, labels)
         tried = pairs.select("x", "y") if tried is None else tried.unionByName(pairs.select("x", "y"))
         release(spark)
 
     # what the comparisons read goes before the result's own exchanges come
-    for done in (sets, runs, rare, degrees):
+    for done in (sets, runs, rare):
         drop_settled(done)
     release(spark)
     comps = classes.select("sig", "class_id", F.col("class_id").alias("component_id"))
