@@ -30,10 +30,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 _LOWERED = _BYTE.copy()
 _LOWERED[65:91] = _BYTE[97:123]
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Also ends words at every ASCII sign that is neither letter nor digit.
-_SIGNS = _BLANK.copy()
+_SIGNS = BLANK.copy()
 _SIGNS[:128] |= ~np.array([chr(i).isalnum() for i in range(128)])
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -62,7 +62,7 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, signs: bool = False) -> tup
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~(_SIGNS if signs else _BLANK)[raw]
+    inside = ~(_SIGNS if signs else BLANK)[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     begins = offsets[:-1][offsets[:-1] < len(raw)]

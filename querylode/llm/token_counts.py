@@ -45,7 +45,7 @@ def token_counts(documents: DataFrame, vocabularies: dict[str, str], texts: dict
             columns = list(batch.columns[: len(stay)])
             for column in batch.columns[len(stay) :]:
                 whole = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-                columns += [pa.array([len(r) // coder.dtype.itemsize for r in coder.encode(whole)], pa.int64()) for coder in coders]
+                columns += [pa.array(coder.counts(whole)) for coder in coders]
             yield pa.RecordBatch.from_arrays(columns, [*stay, *made])
 
     return kept.mapInArrow(run, out)
