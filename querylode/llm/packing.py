@@ -5,17 +5,18 @@ only the very last sequence can need padding. The order in the stream follows ta
 window every source with tokens left is credited its share of the room, the source with the most credit sends next, and
 what it sends is taken off. Credit left over, or overdrawn, carries to the next window.
 
-The stream is made in two passes. The first encodes documents in blocks of bounded size (one row each) and notes what
-each source has sent so far. Sums over the tasks then give, for every block, its place in the stream and
-the deficit of every source there: its share of all tokens before, less its own tokens before. The second pass deals each
-block on its own, starting from the carried deficits, so blocks need neither order nor exchange.
+A source is one queue over the whole table: a token's place in it is what the source has before, in earlier tasks and earlier in its own (sums over the tasks).
+What each source has sent when the stream is so long follows from the shares and the queues' lengths alone: it rises by its share until a source runs dry, whose share
+then goes to the others, up to the last (Schedule). So the stream is dealt in lots of about `block` tokens, each from the ranges of the queues that
+the schedule gives it, wherever in the table they lie: rows go to their lots in one exchange, and a lot carries in as deficit what rounding has left. No lot is larger than
+another, however unlike the sources or the partitions are.
 
-Without given targets a source's share is its part of all tokens. A source that has run dry leaves its share to the
-others. Every document is packed whole, cut where windows and turns end.
+Without given targets a source's share is its part of all tokens. Sources without a target come when those with one are dry, in equal shares. Every document is packed whole, cut where windows, turns and lots
+end. The order of a queue is that of the table's partitions, so another layout of the same rows gives other sequences of the same mixture.
 
 Defined results: a null text is empty, and an empty text is the end id alone; a null source is a queue of its own
 name ""; a row with a null or repeated doc_id is packed like any other; extra columns are left out; an empty table
-gives an empty result.
+gives an empty result. Sources are names of queues: the driver and each task hold a few numbers for each.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from querylode.llm.common import doc_text, settle, small_batches, table
 from querylode.llm.tokens import encoder
 
 WINDOW = 1024
-#: Tokens of a block, about: the queues from which its windows are mixed.
+#: Tokens of a block of encoded documents, and of a lot of the stream, about.
 BLOCK = 1 << 18
 #: The least that a source sends in its turn, if it has as much, so that documents aren't cut to crumbs.
 TURN = 128
@@ -86,22 +87,100 @@ def encoded_blocks(documents: DataFrame, vocabulary: str, end_id: int, block: in
     return docs.mapInArrow(run, BLOCK_DDL)
 
 
-def carried(blocks: DataFrame, targets: dict[str, float] | None) -> DataFrame:
-    """For each task of the first pass: its place in the stream, its sources' shares and what they have sent before it. One row for each task."""
-    spark = blocks.sparkSession
+class Schedule:
+    """What each source has sent when the stream is so long: lines between the places where a source runs dry."""
+
+    def __init__(self, totals: dict[str, int], targets: dict[str, float] | None, lot: int):
+        self.names, self.lot = sorted(totals), lot
+        left = {s: float(totals[s]) for s in self.names}
+        weights = {s: float(totals[s] if targets is None else targets.get(s, 0.0)) for s in self.names}
+        self.total = sum(totals.values())
+        self.at, sent = [0.0], {s: [0.0] for s in self.names}
+        while active := [s for s in self.names if left[s] > 0]:
+            weight = sum(weights[s] for s in active)
+            rates = {s: weights[s] / weight if weight > 0 else 1 / len(active) for s in active}
+            step = min(left[s] / rates[s] for s in active if rates[s] > 0)
+            for s in active:
+                left[s] = 0.0 if rates[s] > 0 and left[s] / rates[s] <= step * (1 + 1e-12) else left[s] - rates[s] * step
+            self.at.append(self.at[-1] + step)
+            for s in self.names:
+                sent[s].append(totals[s] - left[s])
+        self.at[-1] = float(self.total)
+        self.sent = {s: np.array(x) for s, x in sent.items()}
+        self.lots = -(-self.total // lot)
+
+    def ideal(self, source: str, lots: np.ndarray) -> np.ndarray:
+        return np.interp(np.minimum(lots * float(self.lot), self.total), self.at, self.sent[source])
+
+    def borders(self, source: str, lots: np.ndarray) -> np.ndarray:
+        """What the source has sent before each of the lots: whole tokens, never falling."""
+        return np.floor(self.ideal(source, lots) + 0.5).astype(np.int64)
+
+    def cuts(self, source: str, begin: int, end: int) -> tuple[int, np.ndarray]:
+        """The lot of the token at `begin` of the source's queue, and the places up to `end` where later lots begin."""
+        knots, at = self.sent[source], np.array(self.at)
+        low = max(0, int(np.interp(begin, knots, at) // self.lot) - 2)
+        high = int(at[np.searchsorted(knots, min(end, knots[-1]), "left")] // self.lot) + 2
+        lots = np.arange(low, min(high, self.lots) + 1)
+        borders = self.borders(source, lots)
+        first = int(np.searchsorted(borders, begin, "right")) - 1
+        return int(lots[first]), borders[first + 1 : np.searchsorted(borders, end, "left")]
+
+    def share(self, source: str, lot: int) -> float:
+        """The source's part of what is sent where the lot begins."""
+        k = min(int(np.searchsorted(self.at, lot * float(self.lot), "right")), len(self.at) - 1)
+        return float((self.sent[source][k] - self.sent[source][k - 1]) / (self.at[k] - self.at[k - 1]))
+
+    def begin(self, lot: int) -> int:
+        return int(sum(self.borders(s, np.array([lot]))[0] for s in self.names))
+
+
+def carried(blocks: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """For each task of the first pass what its sources have sent before it, one row for each task; and the sources' totals."""
     own = settle(blocks.select("part", F.explode("own").alias("source", "tokens")).groupBy("part", "source").agg(F.sum("tokens").alias("tokens")), "own")
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = own.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("begin"))
-    if targets is None:
-        shares = own.groupBy("source").agg(F.sum("tokens").cast("double").alias("share"))
-    else:
-        shares = spark.createDataFrame([(k, float(v)) for k, v in targets.items()], "source string, share double")
-    total = shares.agg(F.sum("share").alias("all"))
-    shares = shares.join(total, how="cross").select("source", (F.col("share") / F.col("all")).alias("share"))  # total is one row
-    of_source = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    of_source = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
     sent = own.select("part", "source", F.coalesce(F.sum("tokens").over(of_source), F.lit(0)).alias("sent"))
-    told = sent.join(shares, "source", "left").groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("source", "sent"))).alias("sent_before"), F.map_from_entries(F.collect_list(F.struct("source", F.coalesce("share", F.lit(0.0)).alias("share")))).alias("shares"))
-    return settle(starts.join(told, "part"), "carried")
+    told = sent.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("source", "sent"))).alias("sent_before"))
+    totals = {r["source"]: r["n"] for r in own.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # a row for each source
+    return settle(told, "carried"), totals
+
+
+LOT_DDL = "lot long, source string, place long, doc_ids array<long>, starts array<long>, lens array<long>, doc_tokens array<long>, ids binary"
+LOTS = pa.schema([("lot", pa.int64()), ("source", pa.string()), ("place", pa.int64()), *((n, pa.list_(pa.int64())) for n in ("doc_ids", "starts", "lens", "doc_tokens")), ("ids", pa.binary())])
+
+
+def lot_rows(blocks: DataFrame, schedule) -> DataFrame:
+    """For each block, source and lot the pieces of documents that go there, and where in the source's queue they begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = schedule.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                lens = np.array(row["lens"], np.int64)
+                width = len(row["ids"]) // int(lens.sum())
+                begins = np.concatenate([[0], np.cumsum(lens)])
+                sources = np.array(row["sources"], object)
+                sent, before = dict(row["sent"]), dict(row["sent_before"])
+                out = []
+                for source in sorted(set(row["sources"])):
+                    mine = np.flatnonzero(sources == source)
+                    place = before.get(source, 0) + sent.get(source, 0)
+                    ends = place + np.cumsum(lens[mine])
+                    lot, borders = plan.cuts(source, place, int(ends[-1]))
+                    # pieces end where documents or lots do; a border that repeats is a lot with nothing of this source
+                    edges = np.unique(np.concatenate([[place], ends, borders]))
+                    of = np.searchsorted(ends, edges[:-1], "right")
+                    start = edges[:-1] - (ends[of] - lens[mine[of]])
+                    size = np.diff(edges)
+                    to = lot + np.searchsorted(borders, edges[:-1], "right")
+                    for each in np.unique(to):
+                        at = np.flatnonzero(to == each)
+                        docs = mine[of[at]]
+                        raw = b"".join(row["ids"][a * width : b * width] for a, b in zip((begins[docs] + start[at]).tolist(), (begins[docs] + start[at] + size[at]).tolist(), strict=True))
+                        out.append((int(each), source, int(edges[at[0]]), [row["doc_ids"][d] for d in docs], start[at].tolist(), size[at].tolist(), lens[docs].tolist(), raw))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), LOTS, strict=True)], schema=LOTS)
+
+    return blocks.mapInArrow(run, LOT_DDL)
 
 
 def dealt(sources: list[str], lens: list[int], shares: dict[str, float], deficits: dict[str, float], begin: int, window: int, turn: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -140,28 +219,38 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int = 0, targets: dict[s
     spark = documents.sparkSession
     small_batches(spark)
     blocks = settle(encoded_blocks(documents, vocabulary, end_id, block), "blocks")
-    offsets = carried(blocks, targets)
+    before, totals = carried(blocks)
+    schedule = spark.sparkContext.broadcast(Schedule(totals, targets, block))  # a few numbers for each source
     small_batches(spark, BLOCK_BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, lot, held = schedule.value, None, []
+
+        def deal() -> pa.RecordBatch:
+            doc_ids, starts, lens, tokens = ([x for r in held for x in r[n]] for n in ("doc_ids", "starts", "lens", "doc_tokens"))
+            sources = [r["source"] for r in held for _ in r["lens"]]
+            ids = np.concatenate([np.frombuffer(r["ids"], f"<u{len(r['ids']) // sum(r['lens'])}") for r in held]).astype("<u4")
+            begins = np.cumsum([0, *lens]).tolist()
+            here = np.array([lot])
+            owed = {s: float(plan.ideal(s, here)[0] - plan.borders(s, here)[0]) for s in set(sources)}
+            shares = {s: plan.share(s, lot) for s in owed}
+            pieces = list(dealt(sources, lens, shares, owed, plan.begin(lot), window, turn))
+            columns = [[doc_ids[p[0]] for p in pieces], [starts[p[0]] + p[1] for p in pieces], [p[2] for p in pieces], [tokens[p[0]] for p in pieces], [p[3] for p in pieces], [p[4] for p in pieces]]
+            columns += [[sources[p[0]] for p in pieces], [ids[begins[p[0]] + p[1] : begins[p[0]] + p[1] + p[2]].tobytes() for p in pieces]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECE_SCHEMA, strict=True)], schema=PIECE_SCHEMA)
+
         for batch in batches:
             for row in batch.to_pylist():
-                lens = row["lens"]
-                width = len(row["ids"]) // max(1, sum(lens))
-                ids = np.frombuffer(row["ids"], f"<u{width}").astype("<u4")
-                begins = np.cumsum([0, *lens]).tolist()
-                shares, before = dict(row["shares"]), row["begin"] + row["before"]
-                sent = dict(row["sent_before"])
-                for s, n in row["sent"]:
-                    sent[s] = sent.get(s, 0) + n
-                deficits = {s: shares.get(s, 0.0) * before - n for s, n in sent.items()}
-                pieces = list(dealt(row["sources"], lens, shares, deficits, before, window, turn))
-                columns = [[row["doc_ids"][p[0]] for p in pieces], [p[1] for p in pieces], [p[2] for p in pieces], [lens[p[0]] for p in pieces], [p[3] for p in pieces], [p[4] for p in pieces]]
-                columns += [[row["sources"][p[0]] for p in pieces], [ids[begins[p[0]] + p[1] : begins[p[0]] + p[1] + p[2]].tobytes() for p in pieces]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECE_SCHEMA, strict=True)], schema=PIECE_SCHEMA)
-
-    joined = blocks.select("part", "before", "sent", "doc_ids", "sources", "lens", "ids").join(offsets, "part")
-    return joined.select("before", "sent", "doc_ids", "sources", "lens", "ids", "begin", "sent_before", "shares").mapInArrow(run, PIECE_DDL)
+                if row["lot"] != lot:
+                    if held:
+                        yield deal()
+                    lot, held = row["lot"], []
+                held.append(row)
+        if held:
+            yield deal()
+
+    rows = lot_rows(blocks.join(before, "part").select("sent", "sent_before", "doc_ids", "sources", "lens", "ids"), schedule)
+    return rows.repartition("lot").sortWithinPartitions("lot", "source", "place").mapInArrow(run, PIECE_DDL)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

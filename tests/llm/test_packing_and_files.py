@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from querylode.llm.common import scratch
-from querylode.llm.packing import dealt, pack
+from querylode.llm.packing import Schedule, dealt, pack
 from querylode.llm.token_files import EliasFano, Shard, filesystem, read_tokens, write_tokens
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -78,6 +78,43 @@ def test_deficits_carry_over():
     assert first > 900
 
 
+def window_shares(pieces, source):
+    sums = {}
+    for r in pieces:
+        n = sums.setdefault(r.sequence_id, [0, 0])
+        n[0] += r.length * (r.source == source)
+        n[1] += r.length
+    return [n[0] / n[1] for _, n in sorted(sums.items())]
+
+
+def test_windows_are_mixed_from_the_whole_table(spark):
+    """Sources that stand one after the other are mixed to their targets until one runs dry."""
+    rows = [(i, "some words of a text " * (20 + i % 7), "a" if i < 300 else "b") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    shares = window_shares(pack(docs, BYTE, targets={"a": 1, "b": 1}, block=1 << 14).collect(), "a")
+    assert len(shares) > 60 and all(0.3 < x < 0.7 for x in shares[:-1])
+    shares = window_shares(pack(docs.repartition(3, "source"), BYTE, targets={"a": 9, "b": 1}, block=1 << 14).collect(), "a")
+    mixed = int(len(shares) / 2 / 0.9) - 2  # then a is dry
+    assert all(0.7 < x <= 1 for x in shares[:mixed]) and abs(sum(shares[:mixed]) / mixed - 0.9) < 0.01 and not any(shares[mixed + 4 :])
+
+
+def test_schedule_gives_every_token_to_one_lot():
+    rng = random.Random(6)
+    for targets in (None, {"a": 3, "b": 1}, {"c": 1}, {"a": 0.001, "b": 1, "c": 5}):
+        totals = {"a": rng.randrange(1, 5000), "b": rng.randrange(1, 50000), "c": 7}
+        plan = Schedule(totals, targets, 1000)
+        lots = np.arange(plan.lots + 1)
+        assert plan.begin(0) == 0 and plan.begin(plan.lots) == sum(totals.values())
+        for s, n in totals.items():
+            borders = plan.borders(s, lots)
+            assert borders[0] == 0 and borders[-1] == n and (np.diff(borders) >= 0).all()
+            for _ in range(30):
+                a = rng.randrange(n)
+                b = rng.randrange(a, n) + 1
+                lot, cuts = plan.cuts(s, a, b)
+                assert borders[lot] <= a < borders[lot + 1] and cuts.tolist() == [x for x in borders[lot + 1 :].tolist() if x < b]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert pack(empty, BYTE).collect() == []
