@@ -1,15 +1,13 @@
 import random
-import zlib
 
 import numpy as np
 import public_tokenizers
-import pyarrow.fs
 import pytest
 from tokenizers import Tokenizer
 
 from querylode.llm.common import scratch
 from querylode.llm.packing import Schedule, dealt, pack
-from querylode.llm.token_files import EliasFano, Shard, filesystem, read_tokens, write_tokens
+from querylode.llm.token_files import EliasFano, Shard, filesystem, read_document, read_tokens, write_tokens
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -132,22 +130,30 @@ def test_elias_fano_round_trip(values):
 
 
 def test_files_round_trip(spark):
-    rows = corpus() + [(None, "nameless", "a")]
+    rows = [*corpus(), (None, "nameless", "a"), (None, None, "b"), (-5, "below", "a")] + [(700, f"tie {i % 7}", "a") for i in range(200)]
     folder = scratch(spark, "tokens")
     shards = write_tokens(frame(spark, rows), folder, WORD, 2, shard_ids=2000)
-    got = sorted((r.start, r.doc_id, r.n_tokens, zlib.crc32(r.ids)) for r in read_tokens(shards, folder).collect())
-    want, at = [], 0
-    for doc_id, text, _ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        ids = plain_ids(WORD, text, 2)
-        want.append((at, doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        at += len(ids)
-    assert got == want
-    fs, root = filesystem(folder)
-    files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(root))]
-    assert len(files) == shards.count() > 5
-    with fs.open_input_stream(files[0]) as f:
+    found = read_tokens(shards, folder).collect()
+    got = sorted((r.start, r.n_tokens) for r in found)
+    at = 0
+    for start, n in got:
+        assert start == at
+        at += n
+    order = [r.doc_id for r in sorted(found, key=lambda r: r.start)]
+    assert order == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    want = sorted((str(i), tuple(plain_ids(WORD, t, 2))) for i, t, _ in rows)
+    assert sorted((str(r.doc_id), tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in found) == want
+    again = write_tokens(frame(spark, rows[::-1]), folder, WORD, 2, shard_ids=1500)
+    assert sorted((r.start, str(r.doc_id), bytes(r.ids)) for r in read_tokens(again, folder).collect()) == sorted((r.start, str(r.doc_id), bytes(r.ids)) for r in found)
+    for doc_id in (700, 2002, 2003, 1):
+        mine = [bytes(r.ids) for r in sorted(found, key=lambda r: r.start) if r.doc_id == doc_id]
+        assert [ids.astype("<u4").tobytes() for ids in read_document(shards, folder, doc_id)] == mine
+    fs, _ = filesystem(folder)
+    paths = [r.path for r in shards.collect()]
+    assert len(paths) > 5
+    with fs.open_input_stream(paths[0]) as f:
         raw = f.read()
     shard = Shard(raw)
-    assert all(len(shard.document(i)[1]) for i in range(shard.n))
+    assert [shard.document(i)[0] for i in range(shard.n)] == shard.names()
     with pytest.raises(ValueError):
         Shard(raw[:-1] + bytes([raw[-1] ^ 1]))
