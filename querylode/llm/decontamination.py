@@ -4,16 +4,17 @@ Items (cut into segments of at most SEGMENT words) are the indexed documents and
 of the segment's own score, so one threshold serves all. Passages are windows of three chunks of 32 words, one beginning at
 each chunk, so any segment lies whole in some passage.
 
-For each passage the terms' largest impacts in a block of segments are added up; terms that many items hold are not expanded
-but allowed for by the most they can add to the block, except in segments that reach the threshold by such terms alone. Only where that bound reaches the threshold are the block's
-segments scored. What is above it is verified against the text: enough of the item's 3-word shingles must occur near the
+All passages of a batch go through the blocks of segments together: for each passage the terms' largest impacts in a block (block maxima) are added up, and a block is a pivot only where that bound reaches the threshold;
+all others are skipped, and only a pivot's segments are scored. Terms that many items hold are not expanded
+but allowed for by the most they can add to the block, except in segments that reach the threshold by such terms alone. What is above it is verified against the text: enough of the item's 3-word shingles must occur near the
 passage, of its question and of its answer each. A part of one or two words is one shingle, which counts only beside a shingle
 of the other part, as a word alone occurs anywhere.
 
-The index is the benchmark, which has a checked size: beyond MAX_INDEX_BYTES of text it is searched slice by slice.
+The index is the benchmark, which has a checked size: beyond MAX_INDEX_BYTES of text it is searched slice by slice, each a pass over the documents. Document frequencies, the mean length and which terms are common
+are those of the whole benchmark, so slicing changes no score and no result.
 
-Defined results: null or empty texts and items have no terms and no leaks; items or documents that repeat are
-reported each; rows with the same doc_id are one document; long texts are searched whole; extra columns are left out; an empty table
+Defined results: null or empty texts and items have no terms and no leaks; items and rows of documents that repeat are
+reported each; long texts are searched whole; extra columns are left out; an empty table
 on either side gives an empty result.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylode.llm.common import doc_text, small_batches, table
+from querylode.llm.common import doc_text, settle, small_batches, table
 from querylode.llm.shingles import combined, text_buffer, word_hashes, word_spans
 
 CHUNK, CHUNKS = 32, 3
@@ -43,7 +44,6 @@ COMMON = 0.1
 #: Words between a part of fewer than WIDTH words and the other part's nearest shingle, at most.
 WIDTH, BESIDE = 3, 16
 MAX_INDEX_BYTES = 32 << 20
-MAX_SLICES = 64
 
 _ANSWER = re.compile(r"\banswers?\s*:|\ba\s*:\s", re.I)
 
@@ -90,10 +90,14 @@ def shares(words: np.ndarray, parts: list[np.ndarray], widths: list[int]) -> lis
     return held
 
 
+def segments_of(words: np.ndarray) -> list[np.ndarray]:
+    return np.array_split(words, max(1, -(-len(words) // SEGMENT))) if len(words) else []
+
+
 class Index:
-    """Impacts by term of segments and, at most, of blocks of them."""
+    """Impacts by term of segments and, at most, of blocks of them. told: segments, words, and each term's segments of the whole benchmark, where the items are a slice of it."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float):
+    def __init__(self, items: list[tuple[int, str]], threshold: float, told: tuple[int, int, dict[int, int]] | None = None):
         self.threshold = threshold
         self.items = [item_id for item_id, _ in items]
         words = hashed([text or "" for _, text in items])
@@ -104,24 +108,24 @@ class Index:
         self.item_of: list[int] = []
         segments: list[np.ndarray] = []
         for i, w in enumerate(words):
-            for part in np.array_split(w, max(1, -(-len(w) // SEGMENT))) if len(w) else []:
+            for part in segments_of(w):
                 self.item_of.append(i)
                 segments.append(part)
         n = len(segments)
         self.terms = np.unique(np.concatenate([*segments, np.zeros(0, np.uint64)]))
-        held = Counter(int(t) for s in segments for t in np.unique(s))
-        mean = sum(map(len, segments)) / max(1, n)
+        of_all, total, held = told or (n, sum(map(len, segments)), Counter(int(t) for s in segments for t in np.unique(s)))
+        mean = total / max(1, of_all)
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for k, s in enumerate(segments):
             terms, times = np.unique(s, return_counts=True)
-            idf = np.array([math.log(1 + (n - held[int(t)] + 0.5) / (held[int(t)] + 0.5)) for t in terms])
+            idf = np.array([math.log(1 + (of_all - held[int(t)] + 0.5) / (held[int(t)] + 0.5)) for t in terms])
             impact = idf * times * (K1 + 1) / (times + K1 * (1 - B + B * len(s) / mean))
             for t, x in zip(np.searchsorted(self.terms, terms).tolist(), (impact / impact.sum()).tolist(), strict=True):
                 postings[t].append((k, x))
         self.segment_impacts = [dict(postings[t]) for t in range(len(self.terms))]
         blocks = -(-n // BLOCK)
         slack = np.zeros(n)
-        common = [len(postings[t]) > max(1, COMMON * n) for t in range(len(self.terms))]
+        common = [held[int(t)] > max(1, COMMON * of_all) for t in self.terms]
         for t in np.flatnonzero(common).tolist():
             for k, x in postings[t]:
                 slack[k] += x
@@ -226,16 +230,40 @@ DDL = "doc_id long, item_id long, score double, question_overlap double, answer_
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())])
 
 
+def whole_counts(items: DataFrame) -> tuple[DataFrame, int, int]:
+    """(slice, term, segments that hold it in the whole benchmark) of every slice's terms; the benchmark's segments and their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: Counter = Counter()
+            n = total = 0
+            for part, words in zip(batch.column("slice").to_pylist(), hashed(batch.column("text").to_pylist()), strict=True):
+                for segment in segments_of(words):
+                    n, total = n + 1, total + len(segment)
+                    rows.update((part, int(t)) for t in np.unique(segment).view(np.int64))
+            columns = [[p for p, _ in rows] + [-1, -2], [t for _, t in rows] + [0, 0], [*rows.values(), n, total]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["slice", "term", "n"])
+
+    found = settle(items.mapInArrow(run, "slice long, term long, n long").groupBy("slice", "term").agg(F.sum("n").alias("n")), "terms")
+    sums = {r["slice"]: r["n"] for r in found.where("slice < 0").collect()}
+    terms = found.where("slice >= 0")
+    return settle(terms.select("slice", "term").join(terms.groupBy("term").agg(F.sum("n").alias("n")), "term"), "held"), sums.get(-1, 0), sums.get(-2, 0)
+
+
 def indexes(benchmark: DataFrame, threshold: float, max_bytes: int = MAX_INDEX_BYTES) -> Iterator[Index]:
-    """The benchmark's index, in as many slices as its size asks for."""
+    """The benchmark's index, in as many slices as its size asks for; the driver holds one slice at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
     slices = max(1, -(-size // max_bytes))
-    if slices > MAX_SLICES:
-        raise ValueError(f"a benchmark of {size} bytes is more than {MAX_SLICES} slices: join it as a corpus instead")
+    if slices == 1:
+        yield Index([(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()], threshold)
+        return
+    items = items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)))
+    counts, n, total = whole_counts(items.select("slice", "text"))
     for k in range(slices):
-        part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        yield Index([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()], threshold)
+        part = [(r.item_id, r.text) for r in items.where(F.col("slice") == k).orderBy("item_id", "text").collect()]
+        held = counts.where(F.col("slice") == k).select("term", "n").toArrow()
+        yield Index(part, threshold, (n, total, dict(zip(held["term"].to_numpy().view(np.uint64).tolist(), held["n"].to_pylist(), strict=True))))
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, max_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
