@@ -46,6 +46,41 @@ def test_quality_measures(spark):
     assert quality.judge(docs.limit(0)).collect() == []
 
 
+def labelled_prose(n=1200):
+    """Prose of invented words, and one in six with signs strewn through it, which compresses a little better than prose of its length."""
+    rng = random.Random(21)
+    parts = "ba con de fi gor hu in jo ka lem mo nor pa qui res sun ti ul ver wo".split()
+    out = []
+    for i in range(n):
+        words = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) if rng.random() < 0.7 else rng.choice(["the", "of", "and", "to"]) for _ in range(rng.choice([120, 170, 400, 1500]))]
+        bad = i % 6 == 0
+        out.append((i, " ".join(w + rng.choice(["***", "&&&", "###"]) if bad else w for w in words), int(not bad)))
+    return out
+
+
+def test_learnt_bands_catch_held_out_texts(spark):
+    rows = labelled_prose()
+    documents = spark.createDataFrame([(i, t, 5) for i, t, _ in rows] + [(0, rows[0][1], 5), (None, "x", 5), (9999, None, 5)], "doc_id long, text string, quality int")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] + [(0, 0), (None, 1), (7, None), (88888, 1)], "doc_id long, quality int")
+    bands = quality.learn_bands(documents, labels, ~quality.held_out(F.col("doc_id")))
+    got = {r.doc_id: r.kept for r in quality.judge(documents, bands).collect()}
+    held = {r.doc_id for r in documents.where(quality.held_out(F.col("doc_id"))).select("doc_id").collect()}
+    good, bad = ([got[i] for i, _, q in rows if q == k and i in held] for k in (1, 0))
+    assert sum(good) >= 0.98 * len(good) > 100 and sum(bad) <= 0.2 * len(bad) and len(bad) > 20
+    small = quality.learn_bands(documents, labels, sample=50)
+    assert small.whole[5][1] == next(low for size, low, _ in reversed(quality.DEFAULT.whole) if small.whole[5][0] >= size)  # too few in a range
+    for none in (quality.learn_bands(documents, labels.limit(0)), quality.learn_bands(documents.limit(0), labels)):
+        assert none == quality.DEFAULT
+
+
+def test_query_learns_from_the_labels(spark, tmp_path):
+    rows = labelled_prose(300)
+    spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = quality.op9_quality_rules(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got} == {i: plain_quality(t) for i, t, _ in rows}
+
+
 def plain_spans(text):
     text = text or ""
     assign = [m for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 12]
