@@ -179,7 +179,9 @@ def train(documents: DataFrame, labels: DataFrame, allowed: Column | None = None
         told = told.where(allowed)
     # at most `sample` rows of two numbers each, so it can be broadcast at any size of the input
     picked = told.groupBy("doc_id").agg(F.least(F.max("toxic"), F.lit(1)).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = settle(doc_text(documents).join(F.broadcast(settle(picked, "labels")), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5))), "sample")
+    # one row for each doc_id, however often it occurs
+    one = doc_text(documents).join(F.broadcast(settle(picked, "labels")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = settle(one.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5))), "sample")
     lexicon = learn_lexicon(rows.where("part < 2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 
 from querylode.llm import boosting, toxicity
+from querylode.llm.shingles import hashed_words
 
 
 def corpus(n=600):
@@ -55,6 +57,39 @@ def test_features_do_not_depend_on_the_batch():
     assert named["fixed_count"] == named["near_person"] == 1 and named["repeated_signs"] > 0
 
 
+def plain_features(text, lexicon):
+    """The features by plain loops over the characters of a text, in the order of NAMES."""
+    raw = (text or "").encode()
+    words = [(m.start(), m.end()) for m in re.finditer(rb"(?:[0-9A-Za-z]|[\x80-\xff])+", raw)]
+    hashes = [int(hashed_words(pa.array([raw[a:b].decode("utf-8", "replace")]))[0][0]) for a, b in words]
+    known = dict(zip(lexicon.words.tolist(), lexicon.weights.tolist(), strict=True))
+    fixed = [h in toxicity.FIXED.tolist() for h in hashes]
+    person = [h in toxicity.PERSONS.tolist() for h in hashes]
+    learnt = [known.get(h, 0.0) for h in hashes]
+    n, size = max(1, len(words)), max(1, len(raw))
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    hits = [f or w > 0 for f, w in zip(fixed, learnt, strict=True)]
+    near = sum(h and any(person[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i, h in enumerate(hits))
+    return {
+        "fixed_count": sum(fixed), "near_person": near, "exclaims": raw.count(b"!") / size, "questions": raw.count(b"?") / size,
+        "capitals": sum(65 <= c <= 90 for c in raw) / size, "capital_words": sum(b - a > 1 and all(65 <= c <= 90 for c in raw[a:b]) for a, b in words) / n,
+        "fixed_density": sum(fixed) / n, "learnt_count": sum(w > 0 for w in learnt), "learnt_density": sum(w > 0 for w in learnt) / n, "person_density": sum(person) / n, "mean_word": sum(map(letter, raw)) / n,
+    }
+
+
+def test_features_equal_plain_loops():
+    rng = random.Random(3)
+    tokens = ["You", "your", "are", "an", "IDIOT", "moron!!", "nice", "été", "zorg", "STOP", "a-b", "it's", "x1y", "??", "word.", "\n", "you,", "stupid", "1234"]
+    texts = [" ".join(rng.choice(tokens) for _ in range(rng.randrange(0, 60))) for _ in range(40)] + [None, "", "!!!"]
+    key = hashed_words(pa.array(["zorg"]))[0]
+    lexicon = toxicity.Lexicon(key, np.array([2.5]), ((np.zeros(0, np.uint64), np.zeros(0)),) * len(toxicity.STEMS))
+    got = toxicity.features(pa.array(texts, pa.string()), lexicon)
+    for row, text in zip(got, texts, strict=True):
+        named = dict(zip(toxicity.NAMES, row, strict=True))
+        for name, want in plain_features(text, lexicon).items():
+            assert np.isclose(named[name], want), (name, text)
+
+
 def test_boosting_and_calibration():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
