@@ -14,8 +14,8 @@ from querylode.llm.common import scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose words and compression ratios are those of prose."""
-    return quality.keep_good(docs)
+    """Documents whose words and compression ratios are those of prose, as labelled documents show it."""
+    return quality.keep_good(docs, quality.learn_bands(docs, table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id"))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
