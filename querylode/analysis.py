@@ -37,19 +37,34 @@ class Analysis:
     _held: tuple[DataFrame, ...] = ()
 
 
-def input_kind(source: str) -> str:
-    """By suffix or folder, else by what the text looks like."""
+def is_folder(spark: SparkSession, path: str) -> bool | None:
+    """Whether a path in any store is a folder; None if there is nothing."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(at).isDirectory() if fs.exists(at) else None
+
+
+def input_kind(source: str, folder: bool | None = None) -> str:
+    """By suffix or folder, else by what the text looks like. folder: whether the source is one, where that is known."""
     suffix = os.path.splitext(source)[1].lower() if "\n" not in source else ""
     if suffix in (".xml", ".json", ".log", ".slow", ".sql"):
         return {".xml": "mapper", ".json": "schema", ".sql": "sql"}.get(suffix, "slowlog")
-    if re.search(r"query[-_]?time", source, re.I):
-        return "slowlog"
-    return "mapper" if "\n" not in source and os.path.isdir(source) else "sql"
+    if folder:
+        return "mapper"
+    return "slowlog" if re.search(r"query[-_]?time", source, re.I) else "sql"
 
 
 def load(spark: SparkSession, source: str, kind: str | None = None, inline: bool = False) -> DataFrame:
-    """Records of a path or, inline, of a text."""
-    kind = kind or input_kind(source)
+    """Records of a path or, inline, of a text. A source that is no path but reads as a statement or a log is taken as text."""
+    folder = None
+    if not inline and "\n" not in source:
+        try:
+            folder = is_folder(spark, source)
+        except Exception:  # no path at all
+            folder = None
+    inline = inline or folder is None and (re.search(r"\s", source.strip()) is not None)
+    kind = kind or input_kind(source, folder)
     if kind == "mapper":
         return read_mappers(spark, source)
     if kind == "slowlog":

@@ -18,7 +18,11 @@ def statements(records: DataFrame) -> DataFrame:
     A body that repeats is one record, or adds its runs to the first statement that is the same text.
     """
     every = records.withColumn("_all", parsed("sql"))
-    spread = every.select(*records.columns, F.posexplode("_all").alias("body_ord", "parsed")).persist()  # read several times below; few rows, as patterns are
+    spread = every.select(*records.columns, F.posexplode("_all").alias("body_ord", "parsed"))
+    if "notes" in records.columns:  # what the source had to say of the statement comes first
+        told = F.coalesce("notes", F.array().cast("array<string>"))
+        spread = spread.withColumn("parsed", F.col("parsed").withField("notes", F.array_union(told, F.col("parsed.notes"))))
+    spread = spread.persist()  # read several times below; few rows, as patterns are
     outer = spread.where("body_ord = 0")
     bodies = spread.where("body_ord > 0").withColumn("fingerprint", fingerprint("parsed.full_sql")).withColumn("sql", F.col("parsed.full_sql")).withColumn("statement_id", F.concat("statement_id", F.lit("#subquery")))
     bodies = folded(bodies).select(*outer.columns)

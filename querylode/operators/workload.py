@@ -10,6 +10,19 @@ from querylode.functions.text import fingerprint
 COST = "query_time", "lock_time", "rows_sent", "rows_examined"
 
 
+#: Bytes of input from which too few partitions are dealt anew.
+LEAST_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows on as many partitions as there are cores, if a file that doesn't split has left them on fewer: what follows costs far more than the exchange."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size >= LEAST_BYTES and df.rdd.getNumPartitions() < cores else df
+
+
 def patterns(events: DataFrame) -> DataFrame:
     """One row for each fingerprint: occurrences, total_query_time, max_rows_examined, the first sql, file and line, and the cost of the slowest event (the first of equals).
 
@@ -17,7 +30,7 @@ def patterns(events: DataFrame) -> DataFrame:
     """
     first = F.struct("file", "event_ord")
     worst = F.max_by(F.struct(*COST), F.struct(F.coalesce("query_time", F.lit(-1)), -F.col("event_ord")))
-    grouped = events.where("sql IS NOT NULL AND NOT coalesce(ignored, false)").groupBy(fingerprint("sql").alias("fingerprint"))
+    grouped = spread(events).where("sql IS NOT NULL AND NOT coalesce(ignored, false)").groupBy(fingerprint("sql").alias("fingerprint"))
     found = grouped.agg(
         F.count("*").alias("occurrences"), F.sum("query_time").alias("total_query_time"), F.max("rows_examined").alias("max_rows_examined"),
         F.min_by(F.struct("sql", "file", "line", "event_ord"), first).alias("first"), worst.alias("worst"),

@@ -154,8 +154,8 @@ def mapper_records(statements: DataFrame) -> DataFrame:
     spread = statements.select("*", F.posexplode("variants").alias("variant", "v"))
     return as_records(
         spread.select(
-            "file", "line", "namespace", F.col("v.sql").alias("sql"), fingerprint("v.sql").alias("fingerprint"), F.lit(1).alias("occurrences"),
-            F.concat("id", F.when(F.col("v.label") != "", F.concat(F.lit("#"), F.col("v.label"))).otherwise("")).alias("statement_id"), (F.col("pos") * 100 + F.col("variant")).alias("record_ord"),
+            "file", "line", "namespace", "notes", "raw_interpolation", F.col("v.sql").alias("sql"), fingerprint("v.sql").alias("fingerprint"), F.lit(1).alias("occurrences"),
+            F.concat("id", F.when(F.col("v.label") != "", F.concat(F.lit("#"), F.col("v.label"))).otherwise("")).alias("statement_id"), (F.col("pos") * (10 * MAX_VARIANTS) + F.col("variant")).alias("record_ord"),
         )
     )
 

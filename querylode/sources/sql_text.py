@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from querylode.functions.text import fingerprint
 from querylode.plans.lexer import statements
 
-RECORDS = ("fingerprint", "sql", "file", "line", "record_ord", "statement_id", "namespace", "occurrences", "total_query_time", "max_rows_examined", "query_time", "lock_time", "rows_sent", "rows_examined")
+RECORDS = ("fingerprint", "sql", "file", "line", "record_ord", "statement_id", "namespace", "occurrences", "total_query_time", "max_rows_examined", "query_time", "lock_time", "rows_sent", "rows_examined", "notes", "raw_interpolation")
 
 
 def as_records(df: DataFrame) -> DataFrame:
     """Every column that records have, null where this input has none."""
-    kinds = {"line": "int", "record_ord": "long", "occurrences": "long", "max_rows_examined": "long", "rows_sent": "long", "rows_examined": "long", "total_query_time": "decimal(38,6)", "query_time": "decimal(18,6)", "lock_time": "decimal(18,6)"}
+    kinds = {"line": "int", "record_ord": "long", "occurrences": "long", "max_rows_examined": "long", "rows_sent": "long", "rows_examined": "long", "total_query_time": "decimal(38,6)", "query_time": "decimal(18,6)", "lock_time": "decimal(18,6)", "notes": "array<string>", "raw_interpolation": "boolean"}
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in RECORDS])
 
 

@@ -10,7 +10,7 @@ from querylode.operators import findings as after
 from querylode.operators import probes
 from querylode.sources import catalog, sinks
 from querylode.sources.mapper import mapper_statements
-from querylode.sources.slow_log import read_large_log, read_slow_log
+from querylode.sources.slow_log import read_slow_log
 from querylode.streaming.windows import windowed_costs
 
 LOG = """mysqld, Version: 8.0. started with:
@@ -78,7 +78,11 @@ def test_slow_log(spark, tmp_path):
     events = read_slow_log(spark, str(tmp_path / "slow.log")).orderBy("event_ord").collect()
     assert [(e.line, e.ignored, e.user, e.db) for e in events] == [(9, False, "app", "shop"), (13, False, "app", None), (None, True, "root", None), (21, False, "app", None)]
     assert events[0].query_time == Decimal("1.5") and events[0].ts == datetime(2026, 1, 1, 0, 0, 1, 500000) and events[1].ts is None
-    assert {e.sql for e in read_large_log(spark, str(tmp_path / "slow.log")).where("NOT ignored").collect()} == {e.sql for e in events if not e.ignored}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    split = read_slow_log(spark, str(tmp_path / "slow.log"))
+    assert spark.read.format("text").option("lineSep", "\n# Time: ").load(str(tmp_path / "slow.log")).rdd.getNumPartitions() > 3
+    assert sorted(map(str, split.collect())) == sorted(map(str, events))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     record, other = sorted(load(spark, str(tmp_path / "slow.log")).collect(), key=lambda r: r.record_ord)
     assert (record.occurrences, record.total_query_time, record.max_rows_examined, record.line, record.query_time, record.rows_examined) == (2, Decimal("4.5"), 100, 9, Decimal("3"), 50)
     assert other.fingerprint == "select unterminated from goods"
@@ -166,7 +170,8 @@ def test_mappers(spark, tmp_path):
 
 
 def test_kinds(tmp_path):
-    assert [input_kind(x) for x in ("a.xml", "a.json", "a.slow", "a.sql", "# Query_time: 1\n", "SELECT 1", str(tmp_path))] == ["mapper", "schema", "slowlog", "sql", "slowlog", "sql", "mapper"]
+    assert [input_kind(x) for x in ("a.xml", "a.json", "a.slow", "a.sql", "# Query_time: 1\n", "SELECT 1")] == ["mapper", "schema", "slowlog", "sql", "slowlog", "sql"]
+    assert input_kind(str(tmp_path), True) == "mapper"
 
 
 def test_probes(spark):
