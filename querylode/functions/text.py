@@ -84,9 +84,9 @@ def index_name(table: Column | str, columns: Column | str) -> Column:
     return F.when(F.length(whole) > 64, F.regexp_replace(F.substring(whole, 1, 64), "_+$", "")).otherwise(whole)
 
 
-def add_index_ddl(table: Column | str, columns: Column | str) -> Column:
+def add_index_ddl(table: Column | str, columns: Column | str, unique: bool = False) -> Column:
     names = F.array_join(F.transform(_column(columns), quoted), ", ")
-    return F.concat(F.lit("ALTER TABLE "), quoted(table), F.lit(" ADD INDEX "), quoted(index_name(table, columns)), F.lit(" ("), names, F.lit(");"))
+    return F.concat(F.lit("ALTER TABLE "), quoted(table), F.lit(" ADD UNIQUE INDEX " if unique else " ADD INDEX "), quoted(index_name(table, columns)), F.lit(" ("), names, F.lit(");"))
 
 
 def index_parts(columns: Column | str) -> Column:

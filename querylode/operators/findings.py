@@ -90,7 +90,14 @@ def severity_counts(findings: DataFrame) -> DataFrame:
     return findings.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("error", "warn", "info")])
 
 
-def exit_code(findings: DataFrame, fail_on: str = "error") -> int:
-    """1 if there is a finding of at least this severity, else 0."""
+def exit_code(findings: DataFrame, fail_on: str = "error", errors: list | tuple = ()) -> int:
+    """2 if something failed, 1 if there is a finding of at least this severity, else 0."""
+    if errors:
+        return 2
     least = {"info": 0, "warn": 1, "error": 2}[fail_on]
     return int(not findings.where(severity_rank("severity") >= least).isEmpty())
+
+
+def usable(records: DataFrame) -> DataFrame:
+    """Statements of a kind that the parser knows."""
+    return records.where(F.col("parsed.kind") != "unknown")

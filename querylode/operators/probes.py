@@ -40,3 +40,24 @@ def prefix_selectivity(df: DataFrame, column: str, chars: int) -> DataFrame:
 def selectivity(df: DataFrame, *columns: str) -> DataFrame:
     """Distinct tuples without nulls for each row."""
     return df.agg((F.countDistinct(*columns) / F.count("*")).alias("ratio"))
+
+
+def union_of_alternatives(df: DataFrame, *alternatives: Column) -> DataFrame:
+    """The rows that any of the conditions chooses, once each: a branch for every condition, without what the branches before have, so that each can use an index or partition of its own."""
+    out, before = None, F.lit(False)
+    for condition in alternatives:
+        held = F.coalesce(condition, F.lit(False))
+        branch = df.where(held & ~before)
+        out = branch if out is None else out.unionByName(branch)
+        before = before | held
+    return df.limit(0) if out is None else out
+
+
+def with_match(df: DataFrame, other: DataFrame, on: Column) -> DataFrame:
+    """EXISTS: the rows that have a match, once each."""
+    return df.join(other, on, "left_semi")
+
+
+def without_match(df: DataFrame, other: DataFrame, on: Column) -> DataFrame:
+    """NOT EXISTS: the rows without a match; a null key matches nothing."""
+    return df.join(other, on, "left_anti")

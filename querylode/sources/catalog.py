@@ -52,6 +52,35 @@ def no_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CATALOG)
 
 
+def catalog_of_information_schema(tables: DataFrame, columns: DataFrame, statistics: DataFrame) -> DataFrame:
+    """A catalog from rows as information_schema has them: TABLES (table_name, table_collation, table_rows), COLUMNS (table_name, column_name, ordinal_position,
+    data_type, character_maximum_length, is_nullable, character_set_name) and STATISTICS (table_name, index_name, seq_in_index, column_name, sub_part, non_unique).
+
+    A part without column_name is an expression. Names are lower-cased, but those of indexes; parts and columns keep their order.
+    """
+    name = F.lower("table_name").alias("name")
+    cs = F.struct(F.lower("column_name").alias("name"), F.lower("data_type").alias("type"), F.col("character_maximum_length").cast("long").alias("length"), (F.upper("is_nullable") == "YES").alias("nullable"), F.col("character_set_name").alias("charset"))
+    in_order = lambda item: F.transform(F.array_sort(F.collect_list(item)), lambda x: x["value"])
+    listed = columns.groupBy(name).agg(in_order(F.struct("ordinal_position", cs.alias("value"))).alias("columns"))
+    parts = statistics.groupBy(name, "index_name").agg(
+        in_order(F.struct("seq_in_index", F.struct(F.lower("column_name").alias("c"), F.col("sub_part").cast("int").alias("p")).alias("value"))).alias("parts"), F.max("non_unique").alias("non_unique")
+    )
+    index = F.struct(
+        F.col("index_name").alias("name"), F.transform("parts", lambda p: p["c"]).alias("columns"), (F.col("non_unique") == 0).alias("unique"), (F.upper("index_name") == "PRIMARY").alias("primary"), F.transform("parts", lambda p: p["p"]).alias("sub_parts")
+    )
+    # the primary key first, as the server keeps it, then by name
+    indexes = parts.select("name", F.struct((F.upper("index_name") != "PRIMARY").alias("later"), F.col("index_name").alias("i"), index.alias("value")).alias("x")).groupBy("name").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["value"]).alias("indexes"))
+    known = tables.select(name, F.coalesce(F.split("table_collation", "_")[0], F.lit("utf8mb4")).alias("charset"), F.col("table_rows").cast("long").alias("row_estimate"))
+    none = F.array().cast("array<struct<name:string,columns:array<string>,unique:boolean,primary:boolean,sub_parts:array<int>>>")
+    return known.join(listed, "name").join(indexes, "name", "left").select("name", "charset", "row_estimate", "columns", F.coalesce("indexes", none).alias("indexes"))
+
+
+def catalog_json(catalog: DataFrame) -> DataFrame:
+    """A row `value` of JSON for each table, in the form that catalog_from_json() takes between the brackets of "tables"."""
+    indexes = F.transform("indexes", lambda x: F.struct(x["name"].alias("name"), x["columns"].alias("columns"), x["unique"].alias("unique"), x["primary"].alias("primary"), x["sub_parts"].alias("subParts")))
+    return catalog.select(F.to_json(F.struct("name", "charset", F.col("row_estimate").alias("rowCountEstimate"), "columns", indexes.alias("indexes")), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def catalog_of_tables(tables: dict[str, DataFrame], primary: dict[str, list[str]] | None = None) -> str:
     """A JSON snapshot of DataFrames' schemas, with the given primary keys, in the order of names."""
     import json
