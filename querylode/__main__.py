@@ -59,7 +59,6 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
     else:
         out = sinks.text_report(result.findings, result.skipped, result.notes, args.top, resolve_lang(args.lang), result.errors)
     code = after.exit_code(result.findings, args.fail_on, result.errors)
-    result.release()
     return out, code
 
 

@@ -14,6 +14,7 @@ from querylode.operators import findings as after
 from querylode.operators.buckets import buckets, statements
 from querylode.operators.rules import Options, Rule, run_rules
 from querylode.operators.workload import patterns
+from querylode.scratch import settled
 from querylode.sources import catalog as catalogs
 from querylode.sources.mapper import read_mappers
 from querylode.sources.slow_log import read_slow_log, slow_events
@@ -29,13 +30,6 @@ class Analysis:
     options: Options
     errors: list[tuple[str, str]]
 
-    def release(self) -> None:
-        """Frees what reports read again and again."""
-        for df in self._held:
-            df.unpersist()
-
-    _held: tuple[DataFrame, ...] = ()
-
 
 def is_folder(spark: SparkSession, path: str) -> bool | None:
     """Whether a path in any store is a folder; None if there is nothing."""
@@ -82,10 +76,9 @@ def analyse(records: DataFrame, catalog: DataFrame | None = None, options: Optio
     spark = records.sparkSession
     known = catalog if catalog is not None else catalogs.no_catalog(spark)
     errors: list[tuple[str, str]] = []
-    read = statements(records).persist()
-    # as few rows as there are patterns; what follows reads them many times, and a plan with seven rules in each place would cost more than its rows
-    raw = run_rules(buckets(read, known), options, catalog is not None, custom, errors).persist()
-    found = after.finished(raw).persist()
+    read = settled(statements(records), "records")
+    raw = settled(run_rules(buckets(read, known), options, catalog is not None, custom, errors), "raw")
+    found = settled(after.finished(raw), "findings").orderBy(*after.ranking())
     if polish:
         try:
             added = polish(found)
@@ -93,4 +86,4 @@ def analyse(records: DataFrame, catalog: DataFrame | None = None, options: Optio
             found = found.join(added.select(*keys, *[c for c in added.columns if c not in found.columns]), keys, "left").orderBy(*after.ranking())
         except Exception as error:
             errors.append(("polish", f"{type(error).__name__}: {error}"))
-    return Analysis(found, read, after.skipped(read, options, catalog is not None), after.notes(read), options, errors, (found, raw, read))
+    return Analysis(found, read, after.skipped(read, options, catalog is not None), after.notes(read), options, errors)

@@ -6,7 +6,6 @@ The tables hold no SQL text, so workloads are made from their rows: every row be
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +19,7 @@ from querylode.operators.buckets import buckets, statements
 from querylode.operators.rules import Options, run_rules
 from querylode.operators.workload import patterns, payoff
 from querylode.plans.parser import MERGED, parsed
+from querylode.scratch import folder
 from querylode.sources import seed, sinks
 from querylode.sources.catalog import catalog_from_json, catalog_of_information_schema, catalog_of_tables, no_catalog
 from querylode.sources.mapper import mapper_records, statements_from_texts
@@ -126,27 +126,21 @@ def slowlog_parse(spark, sf):
     return found.select(F.col("file").alias("log"), F.col("line").cast("bigint").alias("line"), F.col("query_time").cast("double").alias("query_time"), "rows_examined", F.col("user").alias("app"), F.col("ts").cast("timestamp").alias("ts"), "sql")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all tasks share, for files that a query writes and reads again."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("slowlog_file", LOG + ", one AS (SELECT *, row_number() OVER (ORDER BY event_id) AS n FROM log) SELECT n * 4 AS line, query_time::DOUBLE AS query_time, k AS rows_examined, sql FROM one")
 def slowlog_file(spark, sf):
     log = event_log(spark, sf)
     text = F.concat_ws("\n", F.concat(F.lit("# Time: "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")), F.lit("# User@Host: app[app] @ db []  Id: 7"), F.concat(F.lit("# Query_time: "), F.col("query_time").cast("string"), F.lit("  Lock_time: 0.1 Rows_sent: 1  Rows_examined: "), F.col("rows_examined").cast("string")), F.concat("sql", F.lit(";")))
-    folder = _folder(spark, "slow-log")
-    log.select("event_ord", text.alias("value")).coalesce(1).sortWithinPartitions("event_ord").select("value").write.text(folder)  # one file, so that lines have numbers
-    return read_slow_log(spark, folder).where("NOT ignored").select(F.col("line").cast("bigint").alias("line"), F.col("query_time").cast("double").alias("query_time"), "rows_examined", "sql")
+    path = folder(spark, "slow-log")
+    log.select("event_ord", text.alias("value")).coalesce(1).sortWithinPartitions("event_ord").select("value").write.text(path)  # one file, so that lines have numbers
+    return read_slow_log(spark, path).where("NOT ignored").select(F.col("line").cast("bigint").alias("line"), F.col("query_time").cast("double").alias("query_time"), "rows_examined", "sql")
 
 
 @query("sql_file_scan", "SELECT 3 * row_number() OVER (ORDER BY p_partkey) - 1 AS line, 'SELECT a FROM p' || chr(10) || 'WHERE k = ' || p_partkey || ' AND b = ''' || p_brand || ';''' AS statement FROM part")
 def sql_file_scan(spark, sf):
     text = F.concat(F.lit("-- "), "p_brand", F.lit(";\nSELECT a FROM p\nWHERE k = "), F.col("p_partkey").cast("string"), F.lit(" AND b = '"), "p_brand", F.lit(";';"))
-    folder = _folder(spark, "sql-file")
-    _t(spark, sf, "part").select("p_partkey", text.alias("value")).coalesce(1).sortWithinPartitions("p_partkey").select("value").write.text(folder)
-    return read_sql_files(spark, folder).select(F.col("line").cast("bigint").alias("line"), F.col("sql").alias("statement"))
+    path = folder(spark, "sql-file")
+    _t(spark, sf, "part").select("p_partkey", text.alias("value")).coalesce(1).sortWithinPartitions("p_partkey").select("value").write.text(path)
+    return read_sql_files(spark, path).select(F.col("line").cast("bigint").alias("line"), F.col("sql").alias("statement"))
 
 
 @query("bursts", LOG + ", cut AS (SELECT *, ts - lag(ts) OVER (PARTITION BY fingerprint ORDER BY ts) >= INTERVAL 30 MINUTE AS gap FROM marked), numbered AS (SELECT *, sum(coalesce(gap, false)::INT) OVER (PARTITION BY fingerprint ORDER BY ts) AS burst FROM cut) SELECT min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, fingerprint, count(*)::BIGINT AS occurrences FROM numbered GROUP BY fingerprint, burst")

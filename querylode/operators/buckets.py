@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from querylode.functions.text import fingerprint
 from querylode.operators.workload import folded
 from querylode.plans.parser import parsed
+from querylode.scratch import settled
 
 PREDICATES = ("where-eq", "where-in", "where-range", "where-like-prefix", "where-null", "join-on")
 
@@ -22,7 +23,7 @@ def statements(records: DataFrame) -> DataFrame:
     if "notes" in records.columns:  # what the source had to say of the statement comes first
         told = F.coalesce("notes", F.array().cast("array<string>"))
         spread = spread.withColumn("parsed", F.col("parsed").withField("notes", F.array_union(told, F.col("parsed.notes"))))
-    spread = spread.persist()  # read several times below; few rows, as patterns are
+    spread = settled(spread, "statements")  # read several times below
     outer = spread.where("body_ord = 0")
     bodies = spread.where("body_ord > 0").withColumn("fingerprint", fingerprint("parsed.full_sql")).withColumn("sql", F.col("parsed.full_sql")).withColumn("statement_id", F.concat("statement_id", F.lit("#subquery")))
     bodies = folded(bodies).select(*outer.columns)

@@ -9,6 +9,7 @@ from querylode.operators.buckets import first_by
 from querylode.operators.rules import Options, chosen, severity_rank
 from querylode.operators.workload import payoff
 from querylode.plans.parser import MERGED, UNPARSED
+from querylode.scratch import settled
 
 ORDER = ("record_ord", "body_ord", "table_ord", "rule", "part")
 
@@ -58,7 +59,7 @@ def without_redundant(findings: DataFrame) -> DataFrame:
 
 def finished(findings: DataFrame) -> DataFrame:
     """Deduplicated, cleared and ranked."""
-    return without_redundant(with_payoff(deduplicated(findings))).orderBy(*ranking())
+    return without_redundant(settled(with_payoff(deduplicated(findings)), "deduplicated")).orderBy(*ranking())
 
 
 def skipped(records: DataFrame, options: Options, has_schema: bool) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from querylode.functions import text as T
 from querylode.operators.buckets import columns_of
+from querylode.scratch import settled
 
 # Names of columns that hold few values, severities, thresholds.
 FLAG_NAMES = r"^((is|has|can)_\w*|enabled?|disabled|deleted?|synced?|verified|activated?|expired?|valid|invalid|active|inactive|state|status|type|kind|flag)$"
@@ -325,7 +326,7 @@ def run_rules(b: DataFrame, options: Options, has_schema: bool, custom: tuple[Ru
 
     With a list for errors, a rule that fails is named there and the others go on. A custom rule's rows are computed to know; the seven fail with the plan or not at all.
     """
-    b = b.persist()  # every rule reads it, and it is as small as the catalog and the distinct patterns are
+    b = settled(b, "buckets")  # every rule reads it, and it is as small as the catalog and the distinct patterns are
     found = [finding(b.limit(0), "", "", F.lit(""))]
     for rule in (*chosen(options), *custom):
         if rule.needs_schema and not has_schema:
@@ -333,7 +334,7 @@ def run_rules(b: DataFrame, options: Options, has_schema: bool, custom: tuple[Ru
         try:
             made = rule.run(b, options).select(*found[0].columns)
             if rule in custom and errors is not None:
-                made = made.persist()
+                made = settled(made, "custom")
                 made.count()
             found.append(made)
         except Exception as error:
