@@ -21,8 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder: spark.checkpoint.dir, or below the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    """A new path in the shared folder: spark.checkpoint.dir, or below the warehouse where that is unset and driver and executors are one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -48,11 +52,11 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long, so an Arrow batch holds at most so many rows; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, size: int = 2 << 20) -> None:
+    """Texts can be long, so an Arrow batch holds at most so many bytes (or one row); how many rows of other queries go in a batch stays as it is, and so does a smaller setting of the session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > size:
+        spark.conf.set(key, str(size))
 
 
 def doc_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:

@@ -39,9 +39,6 @@ WINDOW = 1024
 BLOCK = 1 << 18
 #: The least that a source sends in its turn, if it has as much, so that documents aren't cut to crumbs.
 TURN = 128
-#: Block rows in an Arrow batch.
-BLOCK_BATCH = 32
-
 BLOCK_DDL = "part int, before long, sent map<string,long>, own map<string,long>, doc_ids array<long>, sources array<string>, lens array<long>, ids binary"
 PIECE_SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("source", pa.string()), ("ids", pa.binary())])
 PIECE_DDL = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, source string, ids binary"
@@ -221,7 +218,6 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int = 0, targets: dict[s
     blocks = settle(encoded_blocks(documents, vocabulary, end_id, block), "blocks")
     before, totals = carried(blocks)
     schedule = spark.sparkContext.broadcast(Schedule(totals, targets, block))  # a few numbers for each source
-    small_batches(spark, BLOCK_BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, lot, held = schedule.value, None, []

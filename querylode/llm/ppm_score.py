@@ -300,7 +300,9 @@ def gram_codes(sums: DataFrame, buckets: int) -> DataFrame:
             yield row()
 
     coded = grams.repartition("tail").sortWithinPartitions("tail", "gram").mapInArrow(codes, "part int, gram long, code double")
-    return coded.repartition("part").sortWithinPartitions("part", "gram").mapInArrow(pack, "kind int, part int, keys binary, values binary")
+    out = settle(coded.repartition("part").sortWithinPartitions("part", "gram").mapInArrow(pack, "kind int, part int, keys binary, values binary"), "codes")
+    drop_settled(grams)
+    return out
 
 
 def answers(keyed: DataFrame, known: DataFrame) -> DataFrame:
@@ -327,7 +329,7 @@ def answers(keyed: DataFrame, known: DataFrame) -> DataFrame:
 def score(documents: DataFrame, block: int = BLOCK, page: int = PAGE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of documents."""
     spark = documents.sparkSession
-    small_batches(spark, 200)
+    small_batches(spark)
     # a bucket's task holds the bucket's distinct keys; more than some thousands would leave a block few keys for each
     buckets = min(max(32, int(spark.conf.get("spark.sql.shuffle.partitions"))), 8192)
     keyed = settle(blocks(doc_text(documents), block, page, buckets), "blocks")
@@ -335,7 +337,7 @@ def score(documents: DataFrame, block: int = BLOCK, page: int = PAGE) -> DataFra
     ends = keyed.where(F.col("kind") == PAGES).agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)).alias("n")).first()["n"]
     told = sums.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()
     trained, distinct = told["n"] + ends, told["v"] + (ends > 0)
-    codes = settle(gram_codes(sums, buckets), "codes")
+    codes = gram_codes(sums, buckets)
     release(spark)
     known = sums.where(F.col("kind") == WORDS).select("kind", "part", "keys", F.col("n").alias("values")).unionByName(codes)
     answered = settle(answers(keyed, known), "answers")
