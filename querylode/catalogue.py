@@ -22,7 +22,7 @@ from querylode.plans.parser import MERGED, parsed
 from querylode.scratch import folder
 from querylode.sources import seed, sinks
 from querylode.sources.catalog import catalog_from_json, catalog_of_information_schema, catalog_of_tables, no_catalog
-from querylode.sources.mapper import mapper_records, statements_from_texts
+from querylode.sources.mapper import mapper_records, read_mappers, statements_from_texts
 from querylode.sources.slow_log import read_slow_log, slow_events
 from querylode.sources.sql_text import as_records, read_sql_files, records_from_texts
 from querylode.streaming.windows import bursts, windowed_costs
@@ -600,3 +600,59 @@ def information_schema_dump(spark, sf):
     found = catalog_of_information_schema(tables, columns, index.unionByName(last))
     shown = F.array_join(F.transform("indexes", lambda x: F.concat(x["name"], F.lit("("), F.array_join(x["columns"], ",", "-"), F.lit(")"))), ";")
     return found.select(F.col("name").alias("tbl"), "charset", "row_estimate", F.array_join(F.transform("columns", lambda c: c["name"]), ",").alias("columns"), shown.alias("indexes"))
+
+
+@query("dynamic_tables", "SELECT p_partkey, p_partkey % 5 < 4 AND p_partkey % 5 > 0 AS dynamic FROM part")
+def dynamic_tables(spark, sf):
+    k = F.col("p_partkey")
+    name = F.when(k % 5 == 1, F.concat(F.lit("t_${x}_"), k)).when(k % 5 == 2, F.concat(F.lit("t"), k, F.lit("_"))).when(k % 5 == 3, F.concat(F.lit("t?"), k)).otherwise(F.concat(F.lit("t_"), k))
+    return _t(spark, sf, "part").select("p_partkey", T.is_dynamic_table(name).alias("dynamic"))
+
+
+@query("mapper_discovery", "SELECT 'm.' || n_name AS namespace, count(*)::BIGINT AS n FROM nation, range(4) r(i) WHERE i < 3 OR n_nationkey % 5 = 0 GROUP BY n_name")
+def mapper_discovery(spark, sf):
+    path = folder(spark, "mappers")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    texts = [(r["file"], r["value"]) for r in mapper_texts(spark, sf).collect()]  # 25 small files
+    for name, text in [*((f"a/{n}", t) for n, t in texts), ("target/x.xml", texts[0][1]), ("b/beans.xml", "<beans/>"), ("b/notes.txt", texts[0][1])]:
+        stream = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
+        stream.write(bytearray(text.encode()))
+        stream.close()
+    return read_mappers(spark, path).groupBy("namespace").agg(F.count("*").alias("n"))
+
+
+@query("skip_reasons", """WITH n AS (SELECT n_nationkey % 4 AS kind FROM nation), r AS (SELECT 'SIA00' || i AS rule FROM range(1, 8) t(i))
+SELECT rule, reason, count(*)::BIGINT AS count, (SELECT count(*) FROM n)::BIGINT AS total FROM (SELECT rule, CASE WHEN rule = 'SIA007' THEN 'no Rows_examined in this input (slow log only)' WHEN rule = 'SIA006' AND kind = 0 THEN 'the OFFSET is a bound parameter, so its size is not visible statically'
+WHEN kind = 1 THEN 'several statements arrived merged (no '';'' between them); not analysed' WHEN kind = 2 THEN 'no table could be identified' END AS reason FROM n, r) WHERE reason IS NOT NULL GROUP BY rule, reason""")
+def skip_reasons(spark, sf):
+    k = F.col("n_nationkey").cast("string")
+    source = _per(spark, sf, "nation", "n_nationkey", F.concat(F.lit("SELECT a FROM t WHERE b = "), k, F.lit(" LIMIT ?, 10")), F.concat(F.lit("SELECT a FROM t WHERE b = "), k, F.lit(" UPDATE u SET c = 1")), F.concat(F.lit("SELECT "), k), F.concat(F.lit("SELECT a FROM t WHERE b = "), k, F.lit(" LIMIT 10")))
+    records = as_records(source.select("sql", F.col("k").cast("string").alias("fingerprint"), F.col("k").alias("record_ord"), F.lit(1).alias("occurrences")))
+    return after.skipped(statements(records), Options(), True)
+
+
+@query("prefix_lengths", "SELECT p_partkey, greatest(8, least(p_size, floor(3072 / CASE p_partkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END), 128))::BIGINT AS modern, greatest(8, least(p_size * 10, floor(600 / CASE p_partkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END), 128))::BIGINT AS old FROM part")
+def prefix_lengths(spark, sf):
+    charset = F.element_at(F.array(F.lit("utf8mb4"), F.lit("utf8"), F.lit("latin1")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return _t(spark, sf, "part").select("p_partkey", T.prefix_chars(F.col("p_size").cast("long"), charset, 3072, 8).alias("modern"), T.prefix_chars(F.col("p_size").cast("long") * 10, charset, 600, 5.7).alias("old"))
+
+
+@query("key_sizes", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 4 WHEN 1 THEN 4 * p_size WHEN 2 THEN p_size WHEN 3 THEN 3 * p_size WHEN 4 THEN 8 ELSE 3 END::DOUBLE AS bytes FROM part")
+def key_sizes(spark, sf):
+    at = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return _t(spark, sf, "part").select("p_partkey", T.key_bytes(at("int", "varchar", "varchar", "char", "datetime", "date"), F.col("p_size"), at("utf8mb4", "utf8mb4", "latin1", "utf8", "utf8", "utf8")).alias("bytes"))
+
+
+@query("date_rollover", "SELECT n_nationkey::BIGINT AS k, 'd >= ''' || strftime(DATE '1995-02-01' + (n_nationkey + 9)::INT, '%Y-%m-%d') || ' 00:00:00'' AND d < ''' || strftime(DATE '1995-02-01' + (n_nationkey + 10)::INT, '%Y-%m-%d') || ' 00:00:00''' AS rewrite FROM nation")
+def date_rollover(spark, sf):
+    texts = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("file"), F.concat(F.lit("SELECT * FROM t WHERE DATE(d) = '1995-2-"), F.col("n_nationkey") + 10, F.lit("'")).alias("value"))
+    found = run_rules(buckets(statements(records_from_texts(texts).withColumn("fingerprint", F.col("file"))), no_catalog(spark)), Options(rules=("SIA004",)), False)
+    return found.select(F.col("file").cast("bigint").alias("k"), "rewrite")
+
+
+@query("oversized_columns", "SELECT 'orders' AS tbl, 'o_totalprice' AS cols, true AS told, count(*)::BIGINT AS occurrences FROM orders")
+def oversized_columns(spark, sf):
+    sql = F.concat(F.lit("SELECT * FROM orders WHERE o_orderpriority = '"), "o_orderpriority", F.lit("' AND o_totalprice > "), F.col("o_custkey"))
+    found = _of_orders(spark, sf, sql, Options(rules=("SIA001",), prefix_bytes=1000))
+    return found.select(F.col("table").alias("tbl"), F.array_join("index_columns", ",").alias("cols"), F.col("message").contains("Left out as too long for a key: o_orderpriority").alias("told"), "occurrences")
