@@ -28,7 +28,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -345,29 +344,35 @@ def score(documents: DataFrame, block: int = BLOCK, page: int = PAGE) -> DataFra
     drop_settled(codes)
     release(spark)
 
-    def run(told: pa.Table, pages: pa.Table) -> pa.Table:
-        found = {}
-        for kind in (WORDS, GRAMS):
-            mine = told.filter(pa.compute.equal(told["kind"], kind))
-            keys = [unpacked(k, True) for k in mine["keys"].to_pylist()]
-            values = [unpacked(v) for v in mine["values"].to_pylist()]
-            found[kind] = (pd.Index(np.concatenate([*keys, np.zeros(0, np.uint64)])), np.concatenate([*values, np.zeros(0, np.uint64)]))
-        floor = math.log10(trained + distinct + 1)
-        out = []
-        for doc_ids, held, text in zip(pages["doc_ids"].to_pylist(), pages["held"].to_pylist(), pages["text"].to_pylist(), strict=True):
-            words, n_words, grams, n_grams = read_page([s + END for s in zstandard.decompress(text).split(END)[:-1]])
-            c = found[WORDS][1].view(np.int64)[found[WORDS][0].get_indexer(words)] if len(words) else np.zeros(0, np.int64)
-            code = found[GRAMS][1].view(np.float64)[found[GRAMS][0].get_indexer(grams)]
-            of_word, of_gram = np.repeat(np.arange(len(doc_ids)), n_words), np.repeat(np.arange(len(doc_ids)), n_grams)
-            base = np.bincount(of_word, np.log10(c + 1.0) - floor, minlength=len(doc_ids)) + math.log10(ends + 1.0) - floor
-            seen = np.bincount(of_word, c > 0, minlength=len(doc_ids)).astype(np.int64) + (ends > 0)
-            ppm = np.bincount(of_gram, code, minlength=len(doc_ids))
-            columns = (doc_ids, held, n_words + 1, seen, np.full(len(doc_ids), trained), base, ppm)
-            out.append(pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, SCORES, strict=True)], schema=SCORES))
-        return pa.Table.from_batches(out, schema=SCORES)
-
-    texts = keyed.where(F.col("kind") == PAGES).select("block", "doc_ids", "held", "text")
-    return answered.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(run, SCORE_DDL)
+    floor = math.log10(trained + distinct + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held_keys, found = None, {}, {}
+        for batch in batches:
+            for block, kind, keys, values, doc_ids, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != at:
+                    at, held_keys, found = block, {WORDS: ([], []), GRAMS: ([], [])}, {}
+                if kind != PAGES:  # these come first in their block
+                    held_keys[kind][0].append(unpacked(keys, True))
+                    held_keys[kind][1].append(unpacked(values))
+                    continue
+                for k in [*held_keys]:
+                    keys, values = (np.concatenate([*x, np.zeros(0, np.uint64)]) for x in held_keys.pop(k))
+                    found[k] = pd.Index(keys), values.view(np.int64 if k == WORDS else np.float64)
+                words, n_words, grams, n_grams = read_page([s + END for s in zstandard.decompress(text).split(END)[:-1]])
+                c = found[WORDS][1][found[WORDS][0].get_indexer(words)] if len(words) else np.zeros(0, np.int64)
+                code = found[GRAMS][1][found[GRAMS][0].get_indexer(grams)]
+                of_word, of_gram = np.repeat(np.arange(len(doc_ids)), n_words), np.repeat(np.arange(len(doc_ids)), n_grams)
+                base = np.bincount(of_word, np.log10(c + 1.0) - floor, minlength=len(doc_ids)) + math.log10(ends + 1.0) - floor
+                seen = np.bincount(of_word, c > 0, minlength=len(doc_ids)).astype(np.int64) + (ends > 0)
+                ppm = np.bincount(of_gram, code, minlength=len(doc_ids))
+                columns = (doc_ids, held, n_words + 1, seen, np.full(len(doc_ids), trained), base, ppm)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, SCORES, strict=True)], schema=SCORES)
+
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("doc_ids", "array<long>"), ("held", "array<boolean>"), ("text", "binary"))]
+    texts = keyed.where(F.col("kind") == PAGES).select("block", "kind", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("values"), "doc_ids", "held", "text")
+    both = answered.select("block", "kind", "keys", "values", *nothing).unionByName(texts)
+    return both.repartition("block").sortWithinPartitions("block", F.col("kind") == PAGES).mapInArrow(run, SCORE_DDL)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
