@@ -13,7 +13,7 @@ the rarest element.
    hold several components go on. So a large group of near copies costs a few comparisons a member, not all its pairs.
 2. Tree round: each run left is stored as a prefix tree of its members' rare elements and walked with each member. Sets with a
    common beginning share the partial overlap; a subtree ends where the overlap and what remains of either side cannot reach the bound,
-   or where the pair's rarest common element is another one, in whose run it is found. A run of more than RUN_BLOCK members
+   and a pair that shares a rarer element than the run's own is left to that one's run. A run of more than RUN_BLOCK members
    is dealt as pairs of blocks, so no task holds more than two blocks of a hot run.
 The pairs that come out are compared in whole: the sets that meet one node are a prefix tree too, walked with that node's set.
 Texts are read and hashed again for each pass (sizes, counts, rare elements, the few whole sets that are compared): less than moving
@@ -27,6 +27,7 @@ other; long texts are whole; extra columns are left out; an empty table gives an
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -317,7 +318,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 class RunTree:
-    """The rare elements of a run's members as a prefix tree, the rarest first."""
+    """The rare elements of a run's members, from the run's own on, as a prefix tree, the rarest first."""
 
     __slots__ = ("children", "ends", "least", "rest")
 
@@ -326,8 +327,13 @@ class RunTree:
         self.ends: list[tuple] = []
         self.least, self.rest = 1 << 62, 0  # of the sets below: the smallest size, and the most elements that come after this node's
 
+    @staticmethod
+    def member(of: int, sig: object, n: int, comp: object, els: list[int], places: list[int]) -> tuple:
+        """(sig, size, component, elements from `of` on, their places, elements before)"""
+        at = bisect.bisect_left(els, of)
+        return sig, n, comp, els[at:], places[at:], frozenset(els[:at])
+
     def add(self, member: tuple) -> None:
-        """member: (sig, n, component, els, places)"""
         node, n = self, member[1]
         node.least, node.rest = min(node.least, n), max(node.rest, n)
         for el, place in zip(member[3], member[4], strict=True):
@@ -335,27 +341,25 @@ class RunTree:
             node.least, node.rest = min(node.least, n), max(node.rest, n - place - 1)
         node.ends.append(member)
 
-    def partners(self, probe: tuple, of: int, percent: int) -> Iterator[bytes]:
-        """The sigs of members, in other components, that may reach the bound with the probe and whose rarest common element is the one that the run is of."""
-        _, n, comp, els, places = probe
+    def partners(self, probe: tuple, percent: int) -> Iterator:
+        """The sigs of members, in other components, that may reach the bound with the probe and whose rarest common element is the run's own."""
+        _, n, comp, els, places, early = probe
         place = dict(zip(els, places, strict=True))
         last = els[-1]  # what comes later may be in the probe, too, beyond its rare elements, so it is no loss from there on
         open_ = [(self, 0, n, -1)]
         while open_:
             node, overlap, left, frozen = open_.pop()
-            for sig, m, other, _, b_places in node.ends if overlap else ():
+            for sig, m, other, _, b_places, b_early in node.ends:
                 rest = min(left, m - b_places[-1] - 1 if frozen < 0 else frozen)
-                if other != comp and 100 * min(n, m) >= percent * max(n, m) and overlap + rest >= least_overlap(n, m, percent):
+                if other != comp and 100 * min(n, m) >= percent * max(n, m) and overlap + rest >= least_overlap(n, m, percent) and early.isdisjoint(b_early):
                     yield sig
             for el, child in node.children.items():
                 at, now, rest = overlap, left, child.rest
                 if el > last:
                     rest = node.rest if frozen < 0 else frozen
                 elif el in place:
-                    if not overlap and el != of:
-                        continue
                     at, now = overlap + 1, n - place[el] - 1
-                if (at or el < of) and at + min(rest, now) >= least_overlap(n, max(child.least, -(-percent * n // 100)), percent):
+                if at + min(rest, now) >= least_overlap(n, max(child.least, -(-percent * n // 100)), percent):
                     open_.append((child, at, now, rest if el > last else -1))
 
 
@@ -378,18 +382,21 @@ def tree_pairs(runs: DataFrame, rare: DataFrame, percent: int, block: int) -> Da
             for el, lo, hi, side, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (el, lo, hi) != key:
                     key, tree, same = (el, lo, hi), RunTree(), lo == hi
+                one = RunTree.member(el, *member)
                 # a block by itself: each member meets those before it; two blocks: the second meets the first, which comes first
                 if same or side:
-                    out += [(min(member[0], b), max(member[0], b)) for b in tree.partners(member, el, percent)]
+                    out += [(min(one[0], b), max(one[0], b)) for b in tree.partners(one, percent)]
                 if same or not side:
-                    tree.add(member)
+                    tree.add(one)
                 if len(out) >= 4096:
                     yield record(out)
                     out = []
             if out:
                 yield record(out)
 
-    return dealt.repartition("el", "lo", "hi").sortWithinPartitions("el", "lo", "hi", "side").mapInArrow(run, "x binary, y binary")
+    # as many tasks as there are partitions: walking the trees takes far longer than their size tells
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "el", "lo", "hi").sortWithinPartitions("el", "lo", "hi", "side").mapInArrow(run, "x binary, y binary")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -105,8 +105,9 @@ def test_run_tree_finds_each_pair_in_one_run():
         tree = RunTree()
         for m in members:
             if el in m[3]:
-                found += [(b, m[0]) for b in tree.partners(m[:5], el, 60)]
-                tree.add(m[:5])
+                one = RunTree.member(el, *m[:5])
+                found += [(b, m[0]) for b in tree.partners(one, 60)]
+                tree.add(one)
     assert len(found) == len(set(found))
     want = {(a[0], b[0]) for i, b in enumerate(members) for a in members[:i] if 100 * len(a[5] & b[5]) >= 60 * len(a[5] | b[5])}
     assert want <= set(found)
