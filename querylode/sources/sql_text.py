@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +18,16 @@ def as_records(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in RECORDS])
 
 
-def _split(text: str | None) -> list[dict]:
-    return [{"sql": sql, "line": line} for sql, line in statements(text or "")]
+SPLIT = pa.list_(pa.struct([("sql", pa.string()), ("line", pa.int32())]))
+
+
+def _split(texts: pa.Array) -> pa.Array:
+    return pa.array([[{"sql": sql, "line": line} for sql, line in statements(text or "")] for text in texts.to_pylist()], SPLIT)
 
 
 def records_from_texts(texts: DataFrame) -> DataFrame:
     """Columns file, value: a record for each statement between `;` outside quotes, comments and parentheses."""
-    split = F.udf(_split, "array<struct<sql:string,line:int>>", useArrow=True)
+    split = F.arrow_udf(_split, "array<struct<sql:string,line:int>>")
     spread = texts.select("file", F.posexplode(split("value")).alias("pos", "s"))
     return as_records(spread.select("file", F.col("s.sql").alias("sql"), F.col("s.line").alias("line"), F.col("pos").alias("record_ord"), fingerprint("s.sql").alias("fingerprint"), F.lit(1).alias("occurrences")))
 
