@@ -17,7 +17,7 @@ from querylode.operators import findings as after
 from querylode.operators import probes
 from querylode.operators.buckets import buckets, statements
 from querylode.operators.rules import Options, run_rules
-from querylode.operators.workload import patterns, payoff
+from querylode.operators.workload import patterns, payoff, spread
 from querylode.plans.parser import MERGED, parsed
 from querylode.scratch import folder
 from querylode.sources import seed, sinks
@@ -78,7 +78,7 @@ def fingerprint_rank(spark, sf):
 @query("literal_mask", "SELECT o_orderkey, regexp_replace(regexp_replace('SELECT x FROM t1 WHERE k IN (' || o_orderkey || ', ' || o_custkey || ', 7) AND d > -5.5e3 AND s = ''' || o_orderstatus || ''' AND t_2024.a = ' || o_custkey, '''[^'']*''|-?\\b[0-9]+(\\.[0-9]+)?(e[0-9]+)?\\b', '?', 'g'), 'IN \\(\\?(, \\?)*\\)', 'IN (?)', 'g') AS masked FROM orders")
 def literal_mask(spark, sf):
     text = F.concat(F.lit("SELECT x FROM t1 WHERE k IN ("), "o_orderkey", F.lit(", "), "o_custkey", F.lit(", 7) AND d > -5.5e3 AND s = '"), "o_orderstatus", F.lit("' AND t_2024.a = "), "o_custkey")
-    return _t(spark, sf, "orders").select("o_orderkey", T.fold_in_lists(T.mask_literals(text)).alias("masked"))
+    return spread(_t(spark, sf, "orders")).select("o_orderkey", T.fold_in_lists(T.mask_literals(text)).alias("masked"))
 
 
 @query("comment_strip", "SELECT p_partkey, 'SELECT ' || p_size || ' FROM p WHERE b = ''' || p_brand || ' -- x'' AND 1' AS bare FROM part")
@@ -89,7 +89,7 @@ def comment_strip(spark, sf):
 
 @query("evidence_clip", "WITH t AS (SELECT o_orderkey, repeat(o_orderpriority || ',', 30) AS x FROM orders) SELECT o_orderkey, CASE WHEN length(x) > 200 THEN x[1:199] || '…' ELSE x END AS evidence FROM t")
 def evidence_clip(spark, sf):
-    return _t(spark, sf, "orders").select("o_orderkey", T.evidence(F.repeat(F.concat("o_orderpriority", F.lit(",")), F.lit(30))).alias("evidence"))
+    return spread(_t(spark, sf, "orders")).select("o_orderkey", T.evidence(F.repeat(F.concat("o_orderpriority", F.lit(",")), F.lit(30))).alias("evidence"))
 
 
 @query("statement_split", "SELECT p_partkey, unnest([1, 2]) AS pos, unnest(['SELECT a FROM p WHERE k = ' || p_partkey, 'UPDATE p SET n = ''x;' || p_brand || ''' WHERE k = ' || p_partkey]) AS statement FROM part")
@@ -157,7 +157,7 @@ def parse_roles(spark, sf):
         F.lit("SELECT c.c_name FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey WHERE c.c_nationkey = "), "c_nationkey", F.lit(" AND (c.c_mktsegment = '"), "c_mktsegment",
         F.lit("' OR c.c_mktsegment = 'X') AND c.c_acctbal BETWEEN "), F.col("c_acctbal").cast("string"), F.lit(" AND 5 AND c.c_name LIKE '%x' AND c.c_phone IS NULL"),
     )
-    refs = _t(spark, sf, "customer").select(F.explode(F.get(parsed(sql), F.lit(0))["columns"]).alias("r"))
+    refs = spread(_t(spark, sf, "customer")).select(F.explode(F.get(parsed(sql), F.lit(0))["columns"]).alias("r"))
     return refs.groupBy(F.col("r.scope").alias("scope"), F.col("r.column").alias("col")).agg(F.count("*").alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querylode.functions.text import fingerprint
-from querylode.operators.workload import folded
+from querylode.operators.workload import folded, spread
 from querylode.plans.parser import parsed
 from querylode.scratch import settled
 
@@ -18,14 +18,14 @@ def statements(records: DataFrame) -> DataFrame:
 
     A body that repeats is one record, or adds its runs to the first statement that is the same text.
     """
-    every = records.withColumn("_all", parsed("sql"))
-    spread = every.select(*records.columns, F.posexplode("_all").alias("body_ord", "parsed"))
+    every = spread(records).withColumn("_all", parsed("sql"))
+    bodies = every.select(*records.columns, F.posexplode("_all").alias("body_ord", "parsed"))
     if "notes" in records.columns:  # what the source had to say of the statement comes first
         told = F.coalesce("notes", F.array().cast("array<string>"))
-        spread = spread.withColumn("parsed", F.col("parsed").withField("notes", F.array_union(told, F.col("parsed.notes"))))
-    spread = settled(spread, "statements")  # read several times below
-    outer = spread.where("body_ord = 0")
-    bodies = spread.where("body_ord > 0").withColumn("fingerprint", fingerprint("parsed.full_sql")).withColumn("sql", F.col("parsed.full_sql")).withColumn("statement_id", F.concat("statement_id", F.lit("#subquery")))
+        bodies = bodies.withColumn("parsed", F.col("parsed").withField("notes", F.array_union(told, F.col("parsed.notes"))))
+    each = settled(bodies, "statements")  # read several times below
+    outer = each.where("body_ord = 0")
+    bodies = each.where("body_ord > 0").withColumn("fingerprint", fingerprint("parsed.full_sql")).withColumn("sql", F.col("parsed.full_sql")).withColumn("statement_id", F.concat("statement_id", F.lit("#subquery")))
     bodies = folded(bodies).select(*outer.columns)
     first = outer.groupBy("fingerprint").agg(F.min("record_ord").alias("record_ord"))
     extra = bodies.join(first.select("fingerprint", F.col("record_ord").alias("_first")), "fingerprint").select("fingerprint", F.col("_first").alias("record_ord"), F.col("occurrences").alias("_runs"), F.col("total_query_time").alias("_time"), F.col("max_rows_examined").alias("_rows"))

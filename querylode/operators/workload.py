@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +17,15 @@ LEAST_BYTES = 1 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows on as many partitions as there are cores, if a file that doesn't split has left them on fewer: what follows costs far more than the exchange."""
+    """The rows on as many partitions as there are cores, if a file that doesn't split has left them on fewer: what follows costs far more than the exchange. Only a plain scan is dealt anew; anything else has its own partitions."""
     if df.isStreaming:
         return df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    nodes = re.findall(r"^[ :+-]*(\w+)", plan.toString(), re.M)
+    if set(nodes) - {"Project", "Filter", "Relation"} or int(str(plan.stats().sizeInBytes())) < LEAST_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size >= LEAST_BYTES and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def patterns(events: DataFrame) -> DataFrame:
