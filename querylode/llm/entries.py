@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.oracle(url_filter.default_model())}
+    return {"op2_ngram_jaccard_join": jaccard_join.ORACLE, "op10_url_filter": url_filter.oracle(url_filter.default_model())}

@@ -545,3 +545,20 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+#: The same rows by an equal join of all shingles and the closure of all links: for small tables.
+ORACLE = r"""WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0b\x0c\r]+') AS w FROM documents),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) END AS s FROM words),
+classes AS (SELECT s, min(doc_id) AS class_id, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+els AS (SELECT class_id, n, unnest(s) AS el FROM classes),
+shared AS (SELECT a.class_id AS a, b.class_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS x FROM els a JOIN els b ON a.el = b.el AND a.class_id < b.class_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 100 * x >= 80 * (na + nb - x)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(least(classes.class_id, least_of.b), sets.doc_id) AS component_id, coalesce(classes.class_id, sets.doc_id) AS class_id
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN least_of ON least_of.a = classes.class_id"""

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from querylode.llm.jaccard_join import PrefixTree, RunTree, components, jaccard_components, keep_one, prefix_length
+from querylode.llm.jaccard_join import ORACLE, PrefixTree, RunTree, components, jaccard_components, keep_one, prefix_length
 
 
 def brute(rows, k=5, percent=80):
@@ -143,3 +143,15 @@ def test_null_and_repeated_ids_stay(spark):
     kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string"), levels=(3, 9), bits=12)
     got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
     assert got == sorted([(None, text("b")), (None, text("c")), (None, ""), (1, text("a")), (2, text("d")), (2, text("e")), (3, "")], key=str)
+
+
+def test_sql_gives_the_same_rows(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = near_copies(3, 60) + [e for e in EDGES if e[0] != 1008] + [(1008, "a b c d e f"), (1010, "a b c d e f")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = sorted(con.execute(ORACLE).fetchall())
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), levels=(2, 9), bits=12).select("doc_id", "n_shingles", "component_id", "class_id").collect()
+    assert sorted(map(tuple, got)) == want
