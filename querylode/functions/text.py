@@ -20,10 +20,12 @@ def _column(sql: Column | str) -> Column:
 
 
 def strip_comments(sql: Column | str) -> Column:
-    """Block comments become a blank, line comments go; quoted text stays. `#{` begins a bind parameter, not a comment."""
-    marked = F.regexp_replace(F.replace(_column(sql), F.lit("\x01"), F.lit("")), f"(?s)({_QUOTED}|{_LINE})|{_BLOCK}", "$1\x01")
+    """Block comments become a blank, line comments go; quoted text stays. `#{` begins a bind parameter, not a comment. A text without any sign that begins a comment is not looked through."""
+    plain = F.replace(_column(sql), F.lit("\x01"), F.lit(""))
+    marked = F.regexp_replace(plain, f"(?s)({_QUOTED}|{_LINE})|{_BLOCK}", "$1\x01")
     marked = F.regexp_replace(marked, f"(?s)({_QUOTED}|{_LINE})\x01", "$1")
-    return F.regexp_replace(F.translate(marked, "\x01", " "), f"(?s)({_QUOTED})|{_LINE}", "$1")
+    bare = F.regexp_replace(F.translate(marked, "\x01", " "), f"(?s)({_QUOTED})|{_LINE}", "$1")
+    return F.when(_column(sql).rlike(r"--|#|/\*"), bare).otherwise(plain)
 
 
 def mask_literals(sql: Column | str) -> Column:
