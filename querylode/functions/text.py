@@ -12,13 +12,18 @@ _QUOTED = f"(?:{_SINGLE}|{_DOUBLE}|{_TICKED})"
 _LINE = r"(?:--(?=[ \t])|#(?!\{))[^\n\x01]*+"
 _BLOCK = r"/\*(?:[^*]|\*(?!/))*+(?:\*/|\z)"
 #: Blanks as the web's regular expressions know them.
-BLANK = r"[\s\x0b   -     　﻿]"
+BLANKS = "\t\n\x0b\f\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def _column(sql: Column | str) -> Column:
     return F.col(sql) if isinstance(sql, str) else sql
 
 
+def single_blanks(text: Column) -> Column:
+    """Every run of blanks as one space."""
+    return F.regexp_replace(F.translate(text, BLANKS, " " * len(BLANKS)), "  ++", " ")
+
+
 def strip_comments(sql: Column | str) -> Column:
     """Block comments become a blank, line comments go; quoted text stays. `#{` begins a bind parameter, not a comment. A text without any sign that begins a comment is not looked through."""
     plain = F.replace(_column(sql), F.lit("\x01"), F.lit(""))
@@ -32,7 +37,7 @@ def mask_literals(sql: Column | str) -> Column:
     """Strings and numbers become ?; digits that belong to an identifier stay; a sign belongs to the number after an operator, a comma or a parenthesis."""
     number = r"[0-9.]*+(?:[eE][+-]?[0-9]++)?+"
     masked = F.regexp_replace(_column(sql), f"(?s)(?:{_SINGLE}|{_DOUBLE})", "?")
-    masked = F.regexp_replace(masked, rf"(?<=[=<>(),!+*/-][ \t\r\n]{{0,16}})[+-](?=[0-9]){number}", "?")
+    masked = F.regexp_replace(masked, rf"([=<>(),!+*/-][ \t\r\n]{{0,16}}+)[+-](?=[0-9]){number}", "$1?")
     return F.regexp_replace(masked, rf"(?<![A-Za-z0-9_$])(?=\.?[0-9]){number}", "?")
 
 
@@ -43,14 +48,14 @@ def fold_in_lists(sql: Column | str) -> Column:
 def fingerprint(sql: Column | str) -> Column:
     """The pattern of a statement: the same for all values of its literals, and for any layout."""
     text = fold_in_lists(mask_literals(strip_comments(sql)))
-    text = F.regexp_replace(text, f"{BLANK}+", " ")
+    text = single_blanks(text)
     text = F.regexp_replace(text, r" ?([(),;=<>!]) ?", "$1")
     text = F.regexp_replace(text, r" +(?=[(),;=<>!])|(?<=[(),;=<>!]) +", "")
     return F.lower(F.trim(F.regexp_replace(text, ";+$", "")))
 
 
 def one_line(sql: Column | str) -> Column:
-    return F.trim(F.regexp_replace(strip_comments(sql), f"{BLANK}+", " "))
+    return F.trim(single_blanks(strip_comments(sql)))
 
 
 def clipped(text: Column | str, most: int = 200) -> Column:
