@@ -6,7 +6,7 @@ blanks, and a word with the blanks before it for a byte-level one. Units are fou
 what is kept. Texts with other blanks than the six of ASCII are encoded as a whole. The vocabulary's path is a parameter; special tokens in a text are ordinary text.
 
 What is kept is a table of fixed size: a unit's place is given by its 64-bit hash, and the last unit of a place stays. Two units of one place share a hash, and so are
-taken for each other, with a chance of 2**-42.
+taken for each other, with a chance of 2**-43.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ SLICE, JOINED = 1 << 18, 200
 class Encoder:
     """Encodes batches of texts; ids come as little-endian bytes of the width that the vocabulary needs. slots: units that are kept, a power of two; bound: their ids."""
 
-    def __init__(self, path: str, slots: int = 1 << 22, bound: int = 1 << 24):
+    def __init__(self, path: str, slots: int = 1 << 21, bound: int = 1 << 24):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
