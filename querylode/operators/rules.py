@@ -196,7 +196,7 @@ def wrapped_column(b: DataFrame, o: Options) -> DataFrame:
     firsts = lambda refs: F.filter(refs, lambda r, k: ~F.exists(F.slice(refs, 1, k), lambda q: text(q) == text(r)))
     w = b.withColumn("w", F.explode(F.transform(firsts(F.col("wrapped")), lambda r, k: r.withField("i", k))))
     forms = _rewrites()
-    w = w.withColumn("form", forms["rewrite"]).withColumn("never", forms["never"])
+    w = settled(w.withColumn("form", forms["rewrite"]).withColumn("never", forms["never"]), "wrapped")  # the forms are used many times below
     qualifier = F.regexp_replace("w.raw", r"(?<![\w.])`?\w+`?\s*\.\s*(?=[\w`])", "")  # an index expression has no aliases
     w = w.withColumn("expression", qualifier).withColumn("cols", F.array("w.column"))
     name = T.index_name("cat.name", "cols")
