@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime
 from decimal import Decimal
 
@@ -196,3 +197,42 @@ def test_stream_equals_batch(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(map(tuple, spark.table("costs").collect())) == sorted(map(tuple, windowed_costs(events).collect()))
+
+
+def test_sql_files_are_read_in_chunks(spark, tmp_path):
+    """Whatever is open where a chunk or a block begins, statements, lines and their order are those of the whole text."""
+    from querylode.plans.lexer import statements
+    from querylode.sources.sql_text import read_sql_files
+
+    rng = random.Random(11)
+    parts = [
+        "select 1;\n", "select a -- it's;\n from t;\n", "insert into t values ('x;\n y''s \\\n z');\n", "/* one; it's\n two */ select (2;\n);\n", 'select "a;\n\\";\n', "select `b\n;` from u", ";\n;;\n",
+        "# (; note\n", "select #{x\n;y} from v;\r\n", "\n", "select é, \n b", "; select 3; ", "))\n", "/*\n*/\n",
+    ]
+    texts = {f"{i}.sql": "".join(rng.choice(parts) for _ in range(600)) for i in range(3)} | {"open.sql": "select 1;\nselect 'a;\n" * 3 + "'b;\n" * 900, "line.sql": "a;b;(c;d) -- e;", "none.sql": "\n -- x\n", "empty.sql": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        for size in (1, 300, 1 << 20):
+            got = {}
+            for r in read_sql_files(spark, str(tmp_path), size).collect():
+                got.setdefault(r.file.rsplit("/", 1)[1], []).append((r.record_ord, r.sql, r.line, r.occurrences))
+            for name, text in texts.items():
+                assert sorted(got.get(name, [])) == [(i, sql, line, 1) for i, (sql, line) in enumerate(statements(text))], (name, size)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_long_texts_are_split_in_linear_time():
+    from querylode.plans import lexer
+
+    class Counted(str):
+        looked = 0
+
+        def count(self, part, begin=0, end=None):
+            Counted.looked += (len(self) if end is None else end) - begin
+            return super().count(part, begin, len(self) if end is None else end)
+
+    text = Counted("select a\nfrom t where k = 'x;';\n" * 2000)
+    assert lexer.statements(text)[-1] == ("select a\nfrom t where k = 'x;'", 3999) and Counted.looked <= len(text)
