@@ -5,7 +5,7 @@ shuffled symbols). How well clean prose compresses depends on its length, so eac
 lengths, half an octave each. A document is rejected if its whole ratio leaves its band, or if more than a
 set share of its fixed chunks leave theirs. Short documents also fail the base rules.
 
-The bands are learnt from labelled documents: at most SAMPLE of them, chosen by a hash of their doc_id. In each range a band holds
+The bands are learnt from all labelled documents, whose ratios are counted where they are; only counts of bins and single ratios come to the driver. In each range a band holds
 all but a few in a thousand of the good texts, with a margin; labelled bad texts only decide whether a band's low end is worth more than the wide one that holds without labels.
 Ranges with few good texts keep the wide band.
 
@@ -16,14 +16,15 @@ result.
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querylode.llm.common import BLANKS, CONTINUATION, doc_rows, doc_text, record_batches, settle, small_batches, table
@@ -61,63 +62,100 @@ class Bands:
 
 DEFAULT = Bands()
 MIN_WORDS = 50
-#: Labelled documents that bands are learnt from, at most, and good ones that a range needs.
-SAMPLE, FEWEST = 20_000, 100
+#: Good texts that a range needs.
+FEWEST = 100
+#: Labels that may be broadcast, so that only labelled texts are measured. With more of them all texts are, and the numbers are dealt by doc_id.
+BROADCAST = 1_000_000
+#: Where ranges of lengths begin, half an octave each: from 256 bytes to 16 MB, where the last ends.
+EDGES = tuple(round(2 ** (step / 2)) for step in range(16, 49))
+#: Bins of ratios for each unit: a power of two, so that bins are exact.
+BINS = 4096
 #: The share of good texts that may lie beyond either end of a band, and how far an end moves out from there.
 BEYOND, MARGIN = 0.002, 0.008
 #: How much further chunks may lie from the band of texts of their length: they begin and end anywhere.
 CHUNK_MARGIN = 0.012
 
 
-def learn_bands(documents: DataFrame, labels: DataFrame, allowed: Column | None = None, sample: int = SAMPLE, wide: Bands = DEFAULT) -> Bands:
-    """Bands from labels (doc_id, quality: 1 for good) of the rows that `allowed` (a condition on doc_id) lets in. Null, unknown or no labels teach nothing."""
+def learn_bands(documents: DataFrame, labels: DataFrame, allowed: Column | None = None, sample: int | None = None, wide: Bands = DEFAULT, broadcast: int = BROADCAST) -> Bands:
+    """Bands from labels (doc_id, quality: 1 for good) of the rows that `allowed` (a condition on doc_id) lets in: all of them, or `sample` by a hash. Null, unknown or no labels teach nothing."""
     spark = documents.sparkSession
     small_batches(spark)
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL")
     if allowed is not None:
         told = told.where(allowed)
-    # at most `sample` rows of two numbers, so it can be broadcast at any size of the input
-    picked = settle(told.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
+    told = told.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    if sample is not None:
+        told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    told = settle(told, "labels")
+    texts = doc_text(documents)
+    few = told.count() <= broadcast
+    if few:
+        texts = texts.join(F.broadcast(told.select("doc_id")), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=wide.level, write_content_size=False, write_checksum=False)
-        schema = pa.schema([("size", pa.int64()), ("ratio", pa.float64()), ("quality", pa.int32())])
+        schema = pa.schema([("doc_id", pa.int64()), ("range", pa.int32()), ("ratio", pa.float64())])
         for batch in batches:
             rows = []
-            for (_, text), quality in zip(doc_rows(batch), batch.column("quality").to_pylist(), strict=True):
+            for doc_id, text in doc_rows(batch):
                 if not base_failed(text.split()):
-                    rows.append((len(text), len(packer.compress(text)) / len(text), quality))
+                    rows.append((doc_id, bisect_right(EDGES, len(text)) - 1, len(packer.compress(text)) / len(text)))
             yield from record_batches(rows, schema)
 
-    measured = doc_text(documents).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "size long, ratio double, quality int")
-    # rows of one doc_id may be many, so the bound holds for rows as well
-    rows = measured.orderBy(F.xxhash64("size", "ratio", "quality"), "size", "ratio").limit(sample).toArrow()
-    return fit_bands(rows["size"].to_numpy(), rows["ratio"].to_numpy(), rows["quality"].to_numpy(), wide)
+    measured = texts.mapInArrow(run, "doc_id long, range int, ratio double").join(F.broadcast(told) if few else told, "doc_id")
+    counted = settle(measured.groupBy("range", (F.col("quality") == 1).alias("good"), "ratio").agg(F.count("*").alias("n")), "ratios")
+    return fit_bands(counted, wide)
 
 
-def fit_bands(sizes: np.ndarray, ratios: np.ndarray, quality: np.ndarray, wide: Bands = DEFAULT) -> Bands:
-    if not len(sizes):
+def fit_bands(counted: DataFrame, wide: Bands = DEFAULT) -> Bands:
+    """Bands from how often each ratio occurs: range, ratio, good, n."""
+    bad = F.when(~F.col("good"), F.col("ratio"))
+    totals = {r.range: r for r in counted.groupBy("range").agg(F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good"), F.min(bad).alias("least"), F.max(bad).alias("most")).collect()}
+    if not totals:
         return wide
+    ends = quantiles(counted.where("good"), {k: r.good for k, r in totals.items() if 0 <= k < len(EDGES) - 1 and r.good >= FEWEST}, (BEYOND, 1 - BEYOND))
     found = []
-    for step in range(16, 48):  # from 256 bytes to 16 MB
-        least, most = round(2 ** (step / 2)), round(2 ** ((step + 1) / 2))
+    for k, least in enumerate(EDGES[:-1]):
         low, high = next((low, high) for size, low, high in reversed(wide.whole) if least >= size)
-        here = (sizes >= least) & (sizes < most)
-        good, bad = ratios[here & (quality == 1)], ratios[here & (quality != 1)]
-        if len(good) >= FEWEST:
-            learnt_low, learnt_high = np.quantile(good, [BEYOND, 1 - BEYOND]) + (-MARGIN, MARGIN)
-            if (bad < learnt_low).any():
-                low = float(learnt_low)
-            if (bad > learnt_high).any():
-                high = float(learnt_high)
+        if k in ends:
+            learnt_low, learnt_high = ends[k][0] - MARGIN, ends[k][1] + MARGIN
+            if totals[k].least is not None and totals[k].least < learnt_low:
+                low = learnt_low
+            if totals[k].most is not None and totals[k].most > learnt_high:
+                high = learnt_high
             # no band is narrower than the good texts that it was learnt from allow
-            low, high = min(low, float(learnt_low)), max(high, float(learnt_high))
+            low, high = min(low, learnt_low), max(high, learnt_high)
         found.append((least, low, high))
     whole = ((0, *wide.whole[0][1:]), *found)
     chunk = (*((size, low - CHUNK_MARGIN, high + CHUNK_MARGIN) for size, low, high in whole if size <= 2 * wide.chunk_bytes),)
     return replace(wide, whole=whole, chunk=chunk)
 
 
+def quantiles(counted: DataFrame, totals: dict[int, int], shares: tuple[float, ...]) -> dict[int, list[float]]:
+    """Exact quantiles, as numpy's, of the ratios of each range: range, ratio, n, and how many there are. Counts of bins tell which bins hold the ratios that are wanted; only those are put in order."""
+    if not totals:
+        return {}
+    places = {(k, share): divmod((n - 1) * share, 1) for k, n in totals.items() for share in shares}
+    ranks = {(k, min(int(at) + i, totals[k] - 1)) for (k, _), (at, _) in places.items() for i in (0, 1)}
+    binned = counted.where(F.col("range").isin(*totals)).withColumn("bin", F.floor(F.col("ratio") * BINS))
+    bins = defaultdict(list)
+    for r in binned.groupBy("range", "bin").agg(F.sum("n").alias("n")).collect():
+        bins[r.range].append((r.bin, r.n))
+    wanted = []
+    for k, held in bins.items():
+        here, before = sorted(rank for of, rank in ranks if of == k), 0
+        for at, n in sorted(held):
+            wanted += [(k, at, rank, before) for rank in here if before <= rank < before + n]
+            before += n
+    spark = counted.sparkSession
+    rows = F.broadcast(spark.createDataFrame(wanted, "range int, bin long, rank long, before long"))
+    upto = F.sum("n").over(Window.partitionBy("range", "bin").orderBy("ratio"))
+    ordered = binned.join(rows.select("range", "bin").distinct(), ["range", "bin"]).withColumn("upto", upto).join(rows, ["range", "bin"])
+    ratio = {(r.range, r.rank): r.ratio for r in ordered.where("rank < before + upto AND rank >= before + upto - n").select("range", "rank", "ratio").collect()}
+    between = lambda k, at, rest: float(np.quantile([ratio[k, int(at)], ratio[k, min(int(at) + 1, totals[k] - 1)]], rest))
+    return {k: [between(k, *places[k, share]) for share in shares] for k in totals}
+
+
 def repeats(words: list[bytes]) -> int:
     """Words that lie in a 3-word window which the text holds twice or more."""
     windows = list(zip(words, words[1:], words[2:], strict=False))
